@@ -1,0 +1,49 @@
+"""One Spark session for all tests, and the DuckDB side of the comparison."""
+
+import os
+import sys
+
+import duckdb
+import pytest
+from pyspark.sql import SparkSession
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+TESTDATA = os.environ.get("TESTDATA_DIR", "/root/testdata")
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents "
+    "embeddings pages benchmark labels conversations"
+).split()
+
+
+@pytest.fixture(scope="session")
+def spark():
+    session = (
+        SparkSession.builder.master("local[8]")
+        .appName("tests")
+        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.driver.memory", "8g")
+        .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .getOrCreate()
+    )
+    session.sparkContext.setLogLevel("ERROR")
+    yield session
+    session.stop()
+
+
+@pytest.fixture(params=["sf0.001", "sf0.01"])
+def sf_dir(request):
+    return f"{TESTDATA}/{request.param}"
+
+
+@pytest.fixture
+def duck():
+    def connect(sf_dir):
+        con = duckdb.connect()
+        for table in TABLES:
+            con.execute(f"create view {table} as from '{sf_dir}/{table}.parquet'")
+        return con
+
+    return connect

@@ -1,0 +1,41 @@
+"""Every report against its SQL, run by DuckDB on the same files."""
+
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).parent.parent))
+
+from __spark_entry__ import entry, oracle_sql, queries  # noqa: E402
+
+DUCK_NAMES = {"string": "VARCHAR", "double": "DOUBLE", "date": "DATE", "bigint": "BIGINT"}
+
+
+def _duck_type(spark_type):
+    name = spark_type.simpleString()
+    return DUCK_NAMES.get(name, name.upper().replace(",", ", "))
+
+
+def _sorted(rows):
+    return sorted(rows, key=lambda row: tuple((v is not None, v) for v in row))
+
+
+def test_every_report_has_sql():
+    assert set(queries()) == set(oracle_sql())
+
+
+@pytest.mark.parametrize("name", sorted(queries()))
+def test_equals_sql(name, spark, sf_dir, duck):
+    report = queries()[name](spark, sf_dir)
+    columns = sorted(report.columns)
+    actual = _sorted(tuple(row) for row in report.select(columns).collect())
+    expected = duck(sf_dir).sql(oracle_sql()[name])
+    types = dict(zip(expected.columns, (str(t).replace(",", ", ").replace("  ", " ") for t in expected.types)))
+    assert {f.name: _duck_type(f.dataType) for f in report.schema} == types
+    assert actual == _sorted(expected.select(*columns).fetchall())
+    assert actual
+
+
+def test_entry(spark):
+    assert entry(spark).count() == 10
