@@ -30,14 +30,20 @@ def exact_median(
     computed once. Nulls are skipped, as in SQL; a group with nothing but nulls
     gets a null median. Without keys the result is always one row.
     """
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    return median_of_counts(counts, keys, value, name)
+
+
+def median_of_counts(
+    counts: DataFrame, keys: Sequence[str], value: str, name: str = "median"
+) -> DataFrame:
+    """``exact_median`` of values that are already counted, in column ``_n``."""
     keys = list(keys)
-    kind = df.schema[value].dataType
+    kind = counts.schema[value].dataType
     if not isinstance(kind, DecimalType) or kind.precision > 18:
         raise TypeError(f"{value} must be a decimal of at most 18 digits, not {kind}")
 
-    counts = df.groupBy(*keys, F.col(value).alias("_value")).agg(
-        F.count(F.lit(1)).alias("_n")
-    )
+    counts = counts.select(*keys, F.col(value).alias("_value"), "_n")
     units = (F.col("_value") * F.lit(10**kind.scale)).cast("bigint")
     fine = counts.withColumn("_mid", F.shiftright(units, STEP_BITS))
     mid = fine.groupBy(*keys, "_mid").agg(F.sum("_n").alias("_n"))
@@ -79,11 +85,17 @@ def exact_median(
 
 
 def _within(level: DataFrame, picked: DataFrame, keys: list[str], part: str) -> DataFrame:
-    """Rows of ``level`` inside the picked ranges, with the ranks to find there."""
+    """Rows of ``level`` inside the picked ranges, with the ranks to find there.
+
+    The match is null-safe for keys that are null. It also keeps Spark from
+    adding a not-null filter to this use of ``level`` alone, which would make its
+    shuffle differ from the other levels' and compute the input again for each.
+    """
     names = [*keys, part]
     picked = picked.select(*(F.col(c).alias(f"_at_{c}") for c in names), "_lower", "_upper")
-    same = [F.col(k).eqNullSafe(F.col(f"_at_{k}")) for k in keys]
-    same.append(F.col(part) == F.col(f"_at_{part}"))
+    if not keys:
+        picked = F.broadcast(picked)  # two rows at most
+    same = [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in names]
     joined = level.join(picked, reduce(lambda a, b: a & b, same))
     return joined.drop(*(f"_at_{c}" for c in names))
 

@@ -8,7 +8,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrybook.functions.median import exact_median
+from ferrybook.functions.median import exact_median, median_of_counts
 from ferrybook.functions.periods import fill_gaps, period_start
 from ferrybook.functions.types import AMOUNT, VOLUME
 
@@ -29,13 +29,26 @@ def _users(approximate: bool) -> Column:
 
 
 def totals(df: DataFrame, approximate: bool = False) -> DataFrame:
-    """Transfers, distinct users, volume and median amount, in one row."""
-    counted = df.agg(_transfers(), _users(approximate), _volume())
+    """Transfers, distinct users, volume and median amount, in one row.
+
+    One grouping counts the transfers of each user and of each amount. All four
+    figures come from its result, so the flows are read and shuffled once.
+    """
     if approximate:
-        middle = df.agg(F.percentile_approx("amount", 0.5).cast("decimal(20,5)").alias("m"))
-    else:
-        middle = exact_median(df, [], "amount", "m")
-    return counted.withColumn("median_amount", middle.scalar())
+        middle = F.percentile_approx("amount", 0.5).cast("decimal(20,5)")
+        return df.agg(
+            _transfers(), _users(approximate), _volume(), middle.alias("median_amount")
+        )
+    counts = df.groupingSets([["user_id"], ["amount"]], "user_id", "amount").agg(
+        F.grouping("user_id").alias("_by_amount"), F.count(F.lit(1)).alias("_n")
+    )
+    # Rows that count a user have no amount, so sums and median pass over them.
+    transfers = F.sum(F.when(F.col("_by_amount") == 1, F.col("_n")))
+    return counts.agg(
+        F.coalesce(transfers, F.lit(0)).cast("bigint").alias("transfers"),
+        F.count("user_id").alias("users"),
+        F.sum(F.col("amount") * F.col("_n")).cast(VOLUME).alias("volume"),
+    ).withColumn("median_amount", median_of_counts(counts, [], "amount").scalar())
 
 
 def by_period(
