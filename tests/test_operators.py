@@ -1,0 +1,257 @@
+"""Hand-computed cases on a few rows."""
+
+import datetime as dt
+from decimal import Decimal as D
+
+import pytest
+
+import ferrybook as fb
+
+SCHEMA = "source string, destination string, user_id bigint, event_day date, amount decimal(18,4)"
+
+
+def day(month, dom, year=2024):
+    return dt.date(year, month, dom)
+
+
+@pytest.fixture
+def make(spark):
+    return lambda *rows: spark.createDataFrame(
+        [(s, d, u, t, None if a is None else D(a)) for s, d, u, t, a in rows], SCHEMA
+    )
+
+
+@pytest.fixture
+def few(make):
+    return make(
+        ("A", "B", 1, day(1, 1), "10.0000"),
+        ("A", "B", 1, day(1, 2), "20.5000"),
+        ("B", "A", 2, day(1, 5), "5.0000"),
+        ("A", "C", 1, day(3, 4), "30.5000"),
+        ("C", "C", 3, day(3, 31), "1.0000"),
+    )
+
+
+def rows(df):
+    def order(row):
+        return tuple((v is not None, v) for v in row)
+
+    return sorted((tuple(r) for r in df.collect()), key=order)
+
+
+def test_totals(few):
+    assert rows(fb.totals(few)) == [(5, 3, D("67.0000"), D("10.00000"))]
+
+
+def test_totals_of_two_middle_amounts(make):
+    df = make(("A", "B", 1, day(1, 1), "1.0001"), ("A", "B", 2, day(1, 1), "1.0002"))
+    assert rows(fb.totals(df)) == [(2, 2, D("2.0003"), D("1.00015"))]
+
+
+def test_totals_of_nothing(make):
+    df = make(("A", "B", 1, day(1, 1), "1")).filter("false")
+    assert rows(fb.totals(df)) == [(0, 0, None, None)]
+
+
+def test_totals_with_missing_values(make):
+    df = make(("A", "B", None, None, None), ("A", "B", 1, day(1, 1), "3"), (None, "B", 1, None, None))
+    assert rows(fb.totals(df)) == [(3, 1, D("3.0000"), D("3.00000"))]
+
+
+def test_by_period(few):
+    assert rows(fb.by_period(few, "month")) == [
+        (day(1, 1), 3, 2, D("35.5000")),
+        (day(3, 1), 2, 2, D("31.5000")),
+    ]
+    # 1 January 2024 is a Monday, 31 March 2024 a Sunday.
+    assert rows(fb.by_period(few, "week")) == [
+        (day(1, 1), 3, 2, D("35.5000")),
+        (day(3, 4), 1, 1, D("30.5000")),
+        (day(3, 25), 1, 1, D("1.0000")),
+    ]
+    assert len(rows(fb.by_period(few, "day"))) == 5
+
+
+def test_week_before_the_year_begins(make):
+    df = make(("A", "B", 1, day(1, 1, 1995), "1"))  # a Sunday
+    assert rows(fb.by_period(df, "week"))[0][0] == day(12, 26, 1994)
+
+
+def test_by_period_filled(few):
+    assert rows(fb.by_period(few, "month", fill=True)) == [
+        (day(1, 1), 3, 2, D("35.5000")),
+        (day(2, 1), 0, 0, D("0.0000")),
+        (day(3, 1), 2, 2, D("31.5000")),
+    ]
+    days = rows(fb.by_period(few, "day", fill=True))
+    assert [r[0] for r in days] == [day(1, 1) + dt.timedelta(i) for i in range(91)]
+    assert sum(r[1] for r in days) == 5
+    assert len(rows(fb.by_period(few, "week", fill=True))) == 13
+
+
+def test_filling_one_row_and_none(make):
+    one = make(("A", "B", 1, day(1, 1), "1"))
+    assert len(rows(fb.by_period(one, "week", fill=True))) == 1
+    assert rows(fb.by_period(one.filter("false"), "week", fill=True)) == []
+
+
+def test_filling_keeps_transfers_without_day_or_amount(make):
+    df = make(
+        ("A", "B", 1, None, "1"),
+        ("A", "B", 1, day(1, 1), None),
+        ("A", "B", 1, day(1, 3), "2"),
+    )
+    assert rows(fb.by_period(df, "day", fill=True)) == [
+        (None, 1, 1, D("1.0000")),
+        (day(1, 1), 1, 1, None),
+        (day(1, 2), 0, 0, D("0.0000")),
+        (day(1, 3), 1, 1, D("2.0000")),
+    ]
+
+
+def test_unknown_unit(few):
+    with pytest.raises(ValueError):
+        fb.by_period(few, "hour")
+
+
+def test_cumulative(few):
+    assert [r[2] for r in rows(fb.cumulative(few, "month"))] == [D("35.5000"), D("67.0000")]
+    filled = rows(fb.cumulative(few, "month", fill=True))
+    assert [r[2] for r in filled] == [D("35.5000"), D("35.5000"), D("67.0000")]
+
+
+def test_period_change(few):
+    assert [r[2] for r in rows(fb.period_change(few, "month"))] == [None, D("-4.0000")]
+    filled = rows(fb.period_change(few, "month", fill=True))
+    assert [r[2] for r in filled] == [None, D("-35.5000"), D("31.5000")]
+
+
+def test_trailing_volume_counts_calendar_days(few):
+    assert [(r[0], r[2]) for r in rows(fb.trailing_volume(few, 4))] == [
+        (day(1, 1), D("10.0000")),
+        (day(1, 2), D("30.5000")),
+        (day(1, 5), D("25.5000")),  # 2 to 5 January
+        (day(3, 4), D("30.5000")),
+        (day(3, 31), D("1.0000")),
+    ]
+    assert rows(fb.trailing_volume(few, 4))[1][3] == 30.5 / 4
+    assert [r[2] for r in rows(fb.trailing_volume(few, 1))] == [
+        r[1] for r in rows(fb.trailing_volume(few, 1))
+    ]
+    with pytest.raises(ValueError):
+        fb.trailing_volume(few, 0)
+
+
+def test_top_routes(few):
+    assert rows(fb.top_routes(few, 2)) == [
+        (1, "A", "B", 2, D("30.5000"), round(30.5 / 67, 10)),
+        (2, "A", "C", 1, D("30.5000"), round(30.5 / 67, 10)),  # a tie, by name
+    ]
+    assert sum(r[5] for r in rows(fb.top_routes(few, 99))) == pytest.approx(1)
+    assert rows(fb.top_routes(few.filter("false"), 2)) == []
+
+
+def test_net_flow(few):
+    assert rows(fb.net_flow(few)) == [
+        ("A", D("61.0000"), D("5.0000"), D("-56.0000")),
+        ("B", D("5.0000"), D("30.5000"), D("25.5000")),
+        ("C", D("1.0000"), D("31.5000"), D("30.5000")),  # includes C to C
+    ]
+
+
+def test_new_vs_returning(make):
+    df = make(
+        ("A", "B", 1, day(1, 1), "1"),
+        ("A", "B", 1, day(1, 31), "1"),  # same month: counted once
+        ("A", "B", 2, day(2, 1), "1"),
+        ("A", "B", 1, day(2, 9), "1"),
+        ("A", "B", 2, day(4, 1), "1"),
+        ("A", "B", None, day(4, 1), "1"),
+    )
+    assert rows(fb.new_vs_returning(df, "month")) == [
+        (day(1, 1), 1, 0),
+        (day(2, 1), 1, 1),
+        (day(4, 1), 0, 1),
+    ]
+
+
+def test_size_buckets(few, make):
+    assert rows(fb.size_buckets(few, [1, D("20.5")])) == [
+        (1, D("1.0000"), D("20.5000"), 3, D("16.0000")),
+        (2, D("20.5000"), None, 2, D("51.0000")),
+    ]
+    df = make(("A", "B", 1, day(1, 1), None), ("A", "B", 1, day(1, 1), "-1"))
+    assert rows(fb.size_buckets(df, [0])) == [
+        (None, None, None, 1, None),
+        (0, None, D("0.0000"), 1, D("-1.0000")),
+    ]
+    for edges in ([], [2, 1], [1, 1]):
+        with pytest.raises(ValueError):
+            fb.size_buckets(few, edges)
+
+
+def test_route_rollup(few):
+    assert rows(fb.route_rollup(few)) == [
+        (None, None, 5, D("67.0000"), 1, 1),
+        ("A", None, 3, D("61.0000"), 0, 1),
+        ("A", "B", 2, D("30.5000"), 0, 0),
+        ("A", "C", 1, D("30.5000"), 0, 0),
+        ("B", None, 1, D("5.0000"), 0, 1),
+        ("B", "A", 1, D("5.0000"), 0, 0),
+        ("C", None, 1, D("1.0000"), 0, 1),
+        ("C", "C", 1, D("1.0000"), 0, 0),
+    ]
+
+
+def test_route_median(few, make):
+    assert rows(fb.route_median(few)) == [
+        ("A", "B", D("15.25000")),
+        ("A", "C", D("30.50000")),
+        ("B", "A", D("5.00000")),
+        ("C", "C", D("1.00000")),
+    ]
+    df = make(
+        ("A", "B", 1, day(1, 1), None),
+        (None, "B", 1, day(1, 1), "-3"),
+        (None, "B", 1, day(1, 1), None),
+    )
+    assert rows(fb.route_median(df)) == [(None, "B", D("-3.00000")), ("A", "B", None)]
+    assert rows(fb.route_median(df.filter("false"))) == []
+
+
+def test_filter_flows(few):
+    assert len(rows(fb.filter_flows(few))) == 5
+    january = fb.filter_flows(few, day(1, 2), day(1, 5))
+    assert [r[3] for r in rows(january)] == [day(1, 2)]  # the end day is left out
+    assert len(rows(fb.filter_flows(few, sources=["A"]))) == 3
+    assert len(rows(fb.filter_flows(few, sources=["A"], destinations=["C", "A"]))) == 1
+    assert rows(fb.filter_flows(few, sources=[])) == []
+
+
+def test_approximate_forms(spark):
+    df = spark.range(20000).selectExpr(
+        "concat('P', id % 2) as source", "'Q' as destination", "id % 1000 as user_id",
+        "date_add(date '2024-01-01', cast(id % 60 as int)) as event_day",
+        "cast(id as decimal(18,4)) as amount",
+    )
+    exact, near = fb.totals(df).first(), fb.totals(df, approximate=True).first()
+    assert near.transfers == exact.transfers and near.volume == exact.volume
+    assert near.users == pytest.approx(exact.users, rel=0.15)
+    assert float(near.median_amount) == pytest.approx(float(exact.median_amount), rel=0.01)
+    for a, b in zip(rows(fb.route_median(df)), rows(fb.route_median(df, approximate=True))):
+        assert float(a[2]) == pytest.approx(float(b[2]), rel=0.01)
+    monthly = rows(fb.by_period(df, "month", approximate=True))
+    assert [r[1] for r in monthly] == [r[1] for r in rows(fb.by_period(df, "month"))]
+
+
+def test_invariants_on_the_test_tables(spark):
+    df = fb.flows(spark, "/root/testdata/sf0.01").cache()
+    whole = fb.totals(df).first()
+    assert whole.transfers == 57628
+    net = fb.net_flow(df).selectExpr("sum(outflow)", "sum(inflow)", "sum(net)").first()
+    assert (net[0], net[1], net[2]) == (whole.volume, whole.volume, 0)
+    assert fb.cumulative(df, "week").orderBy("period").tail(1)[0][2] == whole.volume
+    assert sum(r[1] for r in rows(fb.new_vs_returning(df, "month"))) == whole.users
+    assert sum(r[5] for r in rows(fb.top_routes(df, 1000))) == pytest.approx(1)
+    assert fb.route_median(df).count() == 600
+    df.unpersist()
