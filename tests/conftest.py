@@ -47,3 +47,16 @@ def duck():
         return con
 
     return connect
+
+
+@pytest.fixture
+def duck_dirs():
+    """Like ``duck``, for tables that Spark wrote as directories of files."""
+
+    def connect(path):
+        con = duckdb.connect()
+        for table in ("nation", "supplier", "customer", "orders", "lineitem"):
+            con.execute(f"create view {table} as from '{path}/{table}.parquet/*.parquet'")
+        return con
+
+    return connect

@@ -1,0 +1,215 @@
+"""Operators on generated flows against plain Python, with hot keys and nulls."""
+
+import datetime as dt
+import random
+from collections import defaultdict
+from decimal import Decimal as D
+from statistics import median
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+import ferrybook as fb
+
+SCHEMA = "source string, destination string, user_id bigint, event_day date, amount decimal(18,4)"
+START = dt.date(2023, 11, 20)
+
+
+def generate(seed, size=1500):
+    """A third of all rows share one route, one user, one day or one amount."""
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(size):
+        hot = rng.choice(["route", "user", "day", "amount", None])
+        source, destination = rng.choice("ABCDE"), rng.choice("ABCDE")
+        user = rng.choice([None, *range(60)])
+        day = START + dt.timedelta(rng.choice([0, 3, 17, 18, 40, 41, 90, rng.randrange(120)]))
+        amount = D(rng.randrange(-(10**6), 10 ** rng.choice([1, 5, 9, 14]))) / 10**4
+        if hot == "route":
+            source, destination = "A", "B"
+        elif hot == "user":
+            user = 7
+        elif hot == "day":
+            day = START + dt.timedelta(3)
+        elif hot == "amount":
+            amount = D("12.5000")
+        if rng.random() < 0.02:
+            amount = None
+        rows.append((source, destination, user, day, amount))
+    return rows
+
+
+@pytest.fixture(scope="module", params=[1, 2, 3])
+def sample(request, spark):
+    rows = generate(request.param)
+    return rows, spark.createDataFrame(rows, SCHEMA).repartition(5).cache()
+
+
+def collect(df):
+    return sorted(map(tuple, df.collect()), key=lambda r: tuple((v is not None, v) for v in r))
+
+
+def month(day):
+    return day.replace(day=1)
+
+
+def week(day):
+    return day - dt.timedelta(day.weekday())
+
+
+def total(amounts):
+    known = [a for a in amounts if a is not None]
+    return sum(known) if known else None
+
+
+def middle(amounts):
+    known = [a for a in amounts if a is not None]
+    return median(known) if known else None
+
+
+def grouped(rows, key):
+    groups = defaultdict(list)
+    for row in rows:
+        groups[key(row)].append(row)
+    return groups
+
+
+def test_totals(sample):
+    rows, df = sample
+    amounts = [r[4] for r in rows]
+    users = {r[2] for r in rows} - {None}
+    assert collect(fb.totals(df)) == [(len(rows), len(users), total(amounts), middle(amounts))]
+
+
+@pytest.mark.parametrize("unit, start", [("week", week), ("month", month)])
+def test_periods(sample, unit, start):
+    rows, df = sample
+    expected = [
+        (p, len(g), len({r[2] for r in g} - {None}), total(r[4] for r in g))
+        for p, g in sorted(grouped(rows, lambda r: start(r[3])).items())
+    ]
+    assert collect(fb.by_period(df, unit)) == expected
+    running, previous, sums, changes = D(0), None, [], []
+    for period, _, _, volume in expected:
+        running += volume
+        sums.append((period, volume, running))
+        changes.append((period, volume, None if previous is None else volume - previous))
+        previous = volume
+    assert collect(fb.cumulative(df, unit)) == sums
+    assert collect(fb.period_change(df, unit)) == changes
+
+
+def test_filled_days(sample):
+    rows, df = sample
+    by_day = grouped(rows, lambda r: r[3])
+    first, last = min(by_day), max(by_day)
+    expected = []
+    for i in range((last - first).days + 1):
+        group = by_day.get(first + dt.timedelta(i), [])
+        users = {r[2] for r in group} - {None}
+        volume = total(r[4] for r in group) if group else D(0)
+        expected.append((first + dt.timedelta(i), len(group), len(users), volume))
+    assert collect(fb.by_period(df, "day", fill=True)) == expected
+
+
+@pytest.mark.parametrize("days", [1, 7, 45])
+def test_trailing_volume(sample, days):
+    rows, df = sample
+    expected = []
+    for day, group in sorted(grouped(rows, lambda r: r[3]).items()):
+        recent = total(r[4] for r in rows if 0 <= (day - r[3]).days < days)
+        mean = None if recent is None else float(recent) / days
+        expected.append((day, total(r[4] for r in group), recent, mean))
+    assert collect(fb.trailing_volume(df, days)) == expected
+
+
+def test_routes_and_places(sample):
+    rows, df = sample
+    routes = grouped(rows, lambda r: r[:2])
+    volumes = {route: total(r[4] for r in g) for route, g in routes.items()}
+    whole = sum(volumes.values())
+    ranked = sorted(routes, key=lambda route: (-volumes[route], route))
+    assert collect(fb.top_routes(df, 6)) == [
+        (i + 1, *r, len(routes[r]), volumes[r], pytest.approx(float(volumes[r]) / float(whole)))
+        for i, r in enumerate(ranked[:6])
+    ]
+    assert collect(fb.route_median(df)) == [
+        (*route, middle(r[4] for r in g)) for route, g in sorted(routes.items())
+    ]
+    places = sorted({p for route in routes for p in route})
+    out = {p: sum(v for r, v in volumes.items() if r[0] == p) for p in places}
+    into = {p: sum(v for r, v in volumes.items() if r[1] == p) for p in places}
+    assert collect(fb.net_flow(df)) == [(p, out[p], into[p], into[p] - out[p]) for p in places]
+    rollup = [(None, None, len(rows), whole, 1, 1)]
+    for place, group in sorted(grouped(rows, lambda r: r[0]).items()):
+        rollup.append((place, None, len(group), total(r[4] for r in group), 0, 1))
+        rollup += [
+            (*r, len(g), volumes[r], 0, 0) for r, g in sorted(routes.items()) if r[0] == place
+        ]
+    assert collect(fb.route_rollup(df)) == rollup
+
+
+@pytest.mark.parametrize("unit, start", [("week", week), ("month", month)])
+def test_new_vs_returning(sample, unit, start):
+    rows, df = sample
+    first = {}
+    for r in sorted(rows, key=lambda r: r[3]):
+        if r[2] is not None:
+            first.setdefault(r[2], start(r[3]))
+    expected = []
+    for period, group in sorted(grouped(rows, lambda r: start(r[3])).items()):
+        users = {r[2] for r in group} - {None}
+        if users:
+            new = sum(first[u] == period for u in users)
+            expected.append((period, new, len(users) - new))
+    assert collect(fb.new_vs_returning(df, unit)) == expected
+
+
+def test_size_buckets(sample):
+    rows, df = sample
+    edges = [D("-1.5"), D(0), D("12.5"), D(1000)]
+
+    def band(row):
+        return None if row[4] is None else sum(row[4] >= e for e in edges)
+
+    expected = []
+    for b, group in grouped(rows, band).items():
+        low = None if b in (None, 0) else edges[b - 1]
+        high = None if b in (None, len(edges)) else edges[b]
+        expected.append((b, low, high, len(group), total(r[4] for r in group)))
+    expected.sort(key=lambda r: (r[0] is not None, r[0]))
+    assert collect(fb.size_buckets(df, edges)) == expected
+
+
+# Whole 18-digit range, both signs, and values that meet at the level borders.
+UNITS = st.one_of(
+    st.integers(-(10**18) + 1, 10**18 - 1),
+    st.integers(-3, 3),
+    st.builds(
+        lambda bits, sign, off: sign * (1 << bits) + off,
+        st.sampled_from([20, 40, 59]),
+        st.sampled_from([-1, 1]),
+        st.integers(-2, 2),
+    ),
+)
+GROUPS = st.lists(st.lists(st.none() | UNITS, max_size=12), min_size=1, max_size=25)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(groups=GROUPS)
+def test_exact_median(spark, groups):
+    values = [(i, None if u is None else D(u) / 100) for i, g in enumerate(groups) for u in g]
+    df = spark.createDataFrame(values, "key int, value decimal(18,2)")
+    expected = [
+        (i, None if middle(g) is None else middle([D(u) / 100 for u in g if u is not None]))
+        for i, g in enumerate(groups)
+        if g
+    ]
+    assert collect(fb.exact_median(df, ["key"], "value")) == expected
+    assert collect(fb.exact_median(df, [], "value")) == [(middle(v for _, v in values),)]
+
+
+def test_exact_median_needs_a_decimal(spark):
+    with pytest.raises(TypeError):
+        fb.exact_median(spark.range(3), [], "id")
