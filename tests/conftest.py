@@ -33,9 +33,9 @@ def spark():
     session.stop()
 
 
-@pytest.fixture(params=["sf0.001", "sf0.01"])
-def sf_dir(request):
-    return f"{TESTDATA}/{request.param}"
+@pytest.fixture
+def sf_dir():
+    return f"{TESTDATA}/sf0.01"
 
 
 @pytest.fixture
