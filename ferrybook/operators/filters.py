@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Collection
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +21,9 @@ def filter_flows(
     Days are compared as a plain range, which reaches the Parquet scan. On a
     table stored by month, the same range also picks the directories to read.
     """
+    for bound in (start, end):
+        if bound is not None and (not isinstance(bound, date) or isinstance(bound, datetime)):
+            raise TypeError(f"day bounds must be dates, not {type(bound).__name__}")
     by_month = "event_month" in df.columns
     if start is not None:
         df = df.filter(F.col("event_day") >= F.lit(start))

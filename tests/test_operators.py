@@ -226,6 +226,9 @@ def test_filter_flows(few):
     assert len(rows(fb.filter_flows(few, sources=["A"]))) == 3
     assert len(rows(fb.filter_flows(few, sources=["A"], destinations=["C", "A"]))) == 1
     assert rows(fb.filter_flows(few, sources=[])) == []
+    for bound in ("2024-01-01", dt.datetime(2024, 1, 1, 13)):
+        with pytest.raises(TypeError):
+            fb.filter_flows(few, start=bound)
 
 
 def test_approximate_forms(spark):
