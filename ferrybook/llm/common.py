@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,3 +39,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="ferrybook-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def write_stage(df: DataFrame) -> DataFrame:
+    """Like ``cut_lineage``, as a Parquet table in the same folder.
+
+    Parquet is smaller than a checkpoint and lets later reads pick columns. The
+    table goes when the session's JVM ends.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="ferrybook-checkpoint-"))
+    path = f"{context.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    hadoop_path = context._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    return spark.read.schema(df.schema).parquet(path)

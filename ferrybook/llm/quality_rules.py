@@ -20,7 +20,7 @@ SMOOTHING = 1.0
 #: smallest hashes of their ids. The corpus multinomial is over all documents.
 TRUSTED_ROWS = 20_000
 #: Mean log ratio per n-gram under which a document is not kept.
-THRESHOLD = -0.3
+THRESHOLD = -0.12
 
 
 def _counted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

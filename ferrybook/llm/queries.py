@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrybook.llm.common import table
+from ferrybook.llm.html_extraction import extract_main_text
+from ferrybook.llm.near_dedup import near_duplicates
 from ferrybook.llm.quality_rules import rate_quality
 from ferrybook.llm.sharding import shard_documents
 from ferrybook.llm.url_filters import RULES, judge_urls, rule_table
@@ -20,6 +22,10 @@ def trusted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return rate_quality(docs, trusted_documents(spark, sf_dir))
@@ -37,6 +43,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_urls(table(spark, sf_dir, "pages"), rule_table(spark, RULES))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -44,8 +54,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_html_extraction": op3_html_extraction,
         "op4_quality_rules": op4_quality_rules,
         "op5_sharding": op5_sharding,
+        "op7_minhash_near_dedup": op7_minhash_near_dedup,
         "op10_url_filters": op10_url_filters,
     }
 
