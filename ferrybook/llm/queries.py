@@ -11,6 +11,7 @@ from ferrybook.llm.common import table
 from ferrybook.llm.html_extraction import extract_main_text
 from ferrybook.llm.near_dedup import near_duplicates
 from ferrybook.llm.quality_rules import rate_quality
+from ferrybook.llm.repeat_dedup import remove_repeats
 from ferrybook.llm.sharding import shard_documents
 from ferrybook.llm.url_filters import RULES, judge_urls, rule_table
 
@@ -47,6 +48,18 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Here all occurrences go, the first one too."""
+    left = remove_repeats(table(spark, sf_dir, "documents"), length=200, keep_first=False)
+    return left.select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_urls(table(spark, sf_dir, "pages"), rule_table(spark, RULES))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -58,6 +71,7 @@ def queries() -> dict[str, Query]:
         "op4_quality_rules": op4_quality_rules,
         "op5_sharding": op5_sharding,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
+        "op9_suffix_array_dedup": op9_suffix_array_dedup,
         "op10_url_filters": op10_url_filters,
     }
 
