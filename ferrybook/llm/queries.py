@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrybook.llm.common import table
+from ferrybook.llm.decontamination import contaminated
 from ferrybook.llm.html_extraction import extract_main_text
+from ferrybook.llm.lm_scoring import score_texts
 from ferrybook.llm.near_dedup import near_duplicates
 from ferrybook.llm.quality_rules import rate_quality
 from ferrybook.llm.repeat_dedup import remove_repeats
@@ -23,6 +25,16 @@ def trusted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per contaminated document and test item; clean documents have none."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return contaminated(docs, items).drop("text_hash")
+
+
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
@@ -67,6 +79,8 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_benchmark_decontamination": op1_benchmark_decontamination,
+        "op2_lm_scoring": op2_lm_scoring,
         "op3_html_extraction": op3_html_extraction,
         "op4_quality_rules": op4_quality_rules,
         "op5_sharding": op5_sharding,
