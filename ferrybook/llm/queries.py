@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from ferrybook.llm.common import table
 from ferrybook.llm.decontamination import contaminated
 from ferrybook.llm.html_extraction import extract_main_text
+from ferrybook.llm.license_scans import scan_licenses
 from ferrybook.llm.lm_scoring import score_texts
 from ferrybook.llm.near_dedup import near_duplicates
 from ferrybook.llm.quality_rules import rate_quality
 from ferrybook.llm.repeat_dedup import remove_repeats
+from ferrybook.llm.sentence_pieces import decode_ids, encode_texts
 from ferrybook.llm.sharding import shard_documents
 from ferrybook.llm.url_filters import RULES, judge_urls, rule_table
 
@@ -56,10 +58,26 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("matches")
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and whether decoding them gives the text back."""
+    coded = decode_ids(encode_texts(table(spark, sf_dir, "documents")))
+    text = F.coalesce("text", F.lit(""))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_ids"),
+        "ids",
+        (F.col("decoded") == text).alias("round_trip"),
+    )
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Here all occurrences go, the first one too."""
     left = remove_repeats(table(spark, sf_dir, "documents"), length=200, keep_first=False)
@@ -84,7 +102,9 @@ def queries() -> dict[str, Query]:
         "op3_html_extraction": op3_html_extraction,
         "op4_quality_rules": op4_quality_rules,
         "op5_sharding": op5_sharding,
+        "op6_license_scans": op6_license_scans,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
+        "op8_sentencepiece": op8_sentencepiece,
         "op9_suffix_array_dedup": op9_suffix_array_dedup,
         "op10_url_filters": op10_url_filters,
     }
