@@ -18,12 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrybook.llm.common import cut_lineage
+from ferrybook.llm.common import cut_lineage, write_stage
 from ferrybook.llm.words import (
     as_long,
     chunks,
     mix,
-    segment_of,
     space_table,
     split_words,
     windows,
@@ -37,8 +36,10 @@ BITS = 4
 LONGS = 8
 #: Candidates go on down to this many standard deviations below the threshold.
 DEVIATIONS = 5.0
-#: From round to round, this many times as many members of a bucket are compared.
-GROWTH = 8
+#: Buckets of up to this many members are compared in full at once. In larger ones,
+#: each round compares ``GROWTH`` times as many members with all others.
+SMALL_BUCKET = 8
+GROWTH = 64
 
 
 def _multipliers() -> tuple[np.ndarray, np.ndarray]:
@@ -207,10 +208,12 @@ def components(edges: DataFrame) -> DataFrame:
     )
     labels = cut_lineage(labels)
     while True:
-        near = both.join(labels.select(F.col("id").alias("to"), "label"), "to")
-        near = near.groupBy("id").agg(F.min("label").alias("near"))
-        spread = labels.join(near, "id").select(
-            "id", F.col("label").alias("old"), F.least("label", "near").alias("step")
+        near = both.join(labels.select(F.col("id").alias("to"), "label"), "to").select("id", "label")
+        own = labels.withColumn("old", F.col("label"))
+        spread = (
+            near.unionByName(own, allowMissingColumns=True)
+            .groupBy("id")
+            .agg(F.min("label").alias("step"), F.max("old").alias("old"))
         )
         jump = labels.select(F.col("id").alias("step"), F.col("label").alias("jump"))
         moved = cut_lineage(
@@ -224,12 +227,13 @@ def components(edges: DataFrame) -> DataFrame:
 def _links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Component label of every representative that has a link: ``id``, ``label``.
 
-    First each member of a bucket is compared with the bucket's smallest id. After
-    that only buckets with members in different components are looked at, and there
-    only pairs across components: in each round more members, chosen by a hash, are
-    compared with all others, until all have been. So a bucket of copies costs its
-    size, not its square, and no pair of candidates is left out unless its two ends
-    are already in one component.
+    First the members of small buckets are compared with each other, and those of
+    larger ones with the bucket's smallest id. After that only larger buckets with
+    members in different components are looked at, and there only pairs across
+    components: in each round more members, chosen by a hash, are compared with all
+    others, until all have been. So a bucket of copies costs its size, not its square,
+    and no pair of candidates is left out unless its two ends are already in one
+    component.
     """
     signatures = reps.select("rep", "signature")
     banded = reps.select("rep", F.explode("bands").alias("key"))
@@ -237,28 +241,39 @@ def _links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
         F.min("rep").alias("center"), F.count(F.lit(1)).alias("members")
     )
     members = cut_lineage(banded.join(shared.filter("members > 1"), "key"))
-    stars = members.filter("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b"))
-    pairs = cut_lineage(_likely(stars.distinct(), signatures, percent))
-    edges = cut_lineage(_confirm(pairs, docs, percent))
+    # Texts of documents in some bucket, so that the others are read once only.
+    texts = write_stage(docs.join(members.select(F.col("rep").alias("id")).distinct(), "id"))
+
+    small = members.filter(F.col("members") <= SMALL_BUCKET).select("key", "rep")
+    others = small.withColumnRenamed("rep", "other")
+    in_small = small.join(others, "key").filter("rep < other")
+    stars = members.filter((F.col("members") > SMALL_BUCKET) & (F.col("rep") != F.col("center")))
+    pairs = in_small.select(F.col("rep").alias("a"), F.col("other").alias("b")).unionByName(
+        stars.select(F.col("center").alias("a"), F.col("rep").alias("b"))
+    )
+    pairs = cut_lineage(_likely(pairs.distinct(), signatures, percent))
+    edges = cut_lineage(_confirm(pairs, texts, percent))
     labels = components(edges)
 
     share = F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    done, upto = 0.0, float(GROWTH)
+    done, upto = 0, GROWTH
+    large = members.filter(F.col("members") > SMALL_BUCKET).select(
+        "key", "rep", "members", (share * F.col("members")).alias("place")
+    )
     while True:
-        named = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
-            "key", "rep", "members", F.coalesce("label", "rep").alias("label")
+        named = large.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn(
+            "label", F.coalesce("label", "rep")
         )
-        open_keys = named.groupBy("key").agg(
-            F.min("label").alias("low"), F.max("label").alias("high"), F.max("members").alias("most")
+        open_keys = (
+            named.filter(F.col("members") > done)
+            .groupBy("key")
+            .agg(F.min("label").alias("low"), F.max("label").alias("high"))
+            .filter("low <> high")
+            .select("key")
         )
-        open_keys = open_keys.filter("low <> high and most > 2").select("key", "most")
-        largest = open_keys.filter(F.col("most") > done).agg(F.max("most")).first()[0]
-        if largest is None:
+        named = cut_lineage(named.join(open_keys, "key").filter(F.col("place") >= done))
+        if named.isEmpty():
             return labels
-        named = named.join(open_keys.select("key"), "key").withColumn(
-            "place", share * F.col("members")
-        )
-        named = named.filter(F.col("place") >= done)
         pivots = named.filter(F.col("place") < upto).select(
             "key", F.col("rep").alias("pivot"), F.col("label").alias("pivot_label")
         )
@@ -270,8 +285,10 @@ def _links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
         done, upto = upto, upto * GROWTH
         if pairs.isEmpty():
             continue
-        edges = cut_lineage(edges.unionByName(_confirm(pairs, docs, percent)))
-        labels = components(edges)
+        added = cut_lineage(_confirm(pairs, texts, percent))
+        if not added.isEmpty():
+            edges = edges.unionByName(added)
+            labels = components(edges)
 
 
 def near_duplicates(
@@ -321,3 +338,20 @@ def near_duplicates(
             F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"),
         )
     )
+
+
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80
+) -> DataFrame:
+    """One document of each component, with all its columns.
+
+    Rows without an id are kept. Of repeated rows of one id, one is kept.
+    """
+    found = near_duplicates(docs, id_col, text_col, percent)
+    removed = found.filter(~F.col("kept") & F.col(id_col).isNotNull()).select(id_col).distinct()
+    kept = docs.join(removed, id_col, "left_anti").select(docs.columns)
+    ids = docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).count()
+    if ids.filter("count > 1").isEmpty():
+        return kept
+    nameless = kept.filter(F.col(id_col).isNull())
+    return kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(nameless)

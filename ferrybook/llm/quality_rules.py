@@ -19,23 +19,24 @@ SMOOTHING = 1.0
 #: At most so many trusted documents teach the target multinomial: those with the
 #: smallest hashes of their ids. The corpus multinomial is over all documents.
 TRUSTED_ROWS = 20_000
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Mean log ratio per n-gram under which a document is not kept.
 THRESHOLD = -0.12
 
 
-def _counted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Counts per document, and ``hashes``: a 64-bit hash of each word."""
+def _counted(docs: DataFrame, text_col: str) -> DataFrame:
+    """``row`` (all columns of a document), counts, and a 64-bit hash of each word."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     line_has_word = lambda line: F.length(F.translate(line, SPACE_CHARS, "")) > 0
     df = docs.select(
-        F.col(id_col).alias("id"),
+        F.struct("*").alias("row"),
         F.length(F.translate(text, SPACE_CHARS, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.filter(F.split(text, "\n", -1), line_has_word).alias("lines"),
         F.transform(words(text), lambda w: F.xxhash64(w)).alias("hashes"),
     )
     df = df.select(
-        "id",
+        "row",
         "word_chars",
         "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -48,20 +49,21 @@ def _counted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     placed = F.when(
         twice, F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     )
-    df = df.withColumn("placed", placed)
+    df = df.withColumn("placed", placed).drop("windows")
 
     def repeated(x, i):
         left, right = F.get("placed", i - 1)["h"], F.get("placed", i + 1)["h"]
         same = x["h"].eqNullSafe(left) | x["h"].eqNullSafe(right)
         return F.when(same, x["i"])
 
-    df = df.withColumn("starts", F.sort_array(F.array_compact(F.transform("placed", repeated))))
+    starts = F.sort_array(F.array_compact(F.transform("placed", repeated)))
+    df = df.withColumn("starts", starts).drop("placed")
     # A start covers three words, or those up to the next start.
     covered = F.transform(
         "starts", lambda s, i: F.least(F.lit(3), F.coalesce(F.get("starts", i + 1) - s, F.lit(3)))
     )
-    total = F.aggregate(covered, F.lit(0), lambda a, b: a + b)
-    return df.withColumn("n_repeat_words", F.coalesce(total, F.lit(0)).cast("long"))
+    total = F.coalesce(F.aggregate(covered, F.lit(0), lambda a, b: a + b), F.lit(0))
+    return df.withColumn("n_repeat_words", total.cast("long")).drop("starts")
 
 
 def _windows():
@@ -122,7 +124,7 @@ def bucket_ratios(
     return counts.select("bucket", ratio.alias("ratio"))
 
 
-def rate_quality(
+def with_quality(
     docs: DataFrame,
     trusted: DataFrame,
     id_col: str = "doc_id",
@@ -130,42 +132,42 @@ def rate_quality(
     threshold: float = THRESHOLD,
     trusted_rows: int = TRUSTED_ROWS,
 ) -> DataFrame:
-    """Counts, mean log ratio and verdict of every document.
-
-    Returns ``id_col``, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, score and kept. ``score`` is the mean log ratio of
-    the document's words and word pairs, rounded to 9 places so that the order of
-    summation does not decide at the threshold; without words it is 0.
+    """Every document as ``row``, a struct of its columns, with its counts and verdict.
 
-    A null or empty text has no words and fails the base rules. Repeated rows are
-    all rated, each on its own. An empty table gives an empty result. Other columns
-    are not read. Every count is over the whole text; arrays are per document.
-    The table of ratios has exactly ``BUCKETS`` rows and is broadcast.
+    The table of ratios has exactly ``BUCKETS`` numbers whatever the corpus. It is put
+    into the expression as a constant, so that documents are rated where they are
+    read, without a shuffle.
     """
-    ratios = bucket_ratios(docs, trusted, id_col, text_col, trusted_rows)
-    counted = _counted(docs, id_col, text_col).select(
-        F.monotonically_increasing_id().alias("row"),
-        "id",
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
-        "n_repeat_words",
-        _features().alias("buckets"),
-    )
-    kept = ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    scored = (
-        counted.select("row", *kept, F.explode_outer("buckets").alias("bucket"))
-        .join(F.broadcast(ratios), "bucket", "left")
-        .groupBy("row")
-        .agg(*(F.max(c).alias(c) for c in kept), F.avg("ratio").alias("mean"))
+    ratios = sorted(bucket_ratios(docs, trusted, id_col, text_col, trusted_rows).collect())
+    constant = ",".join(f"{ratio:.6f}" for _, ratio in ratios)
+    by_bucket = F.split(F.lit(constant), ",").cast("array<double>")
+    df = _counted(docs, text_col).withColumn("buckets", _features())
+    total = F.aggregate(
+        "buckets", F.lit(0.0), lambda sum_, bucket: sum_ + F.get(by_bucket, bucket)
     )
+    score = F.round(F.coalesce(total / F.nullif(F.size("buckets"), F.lit(0)), F.lit(0.0)), 9)
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    score = F.round(F.coalesce("mean", F.lit(0.0)), 9)
-    return scored.select(
-        F.col("id").alias(id_col),
-        *kept[1:],
-        base_failed.alias("base_failed"),
-        score.alias("score"),
-        (~base_failed & (score >= F.lit(threshold))).alias("kept"),
-    )
+    df = df.withColumns({"base_failed": base_failed, "score": score}).drop("buckets", "hashes")
+    return df.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(threshold)))
+
+
+def rate_quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """Counts, mean log ratio and verdict of every document.
+
+    Returns ``id_col``, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    base_failed, score and kept. ``score`` is the mean log ratio of the document's
+    words and word pairs; without words it is 0. ``options`` are those of
+    ``with_quality``.
+
+    A null or empty text has no words and fails the base rules. Repeated rows are all
+    rated, each on its own. An empty table gives an empty result. Other columns are
+    not read. Every count is over the whole text; arrays are per document.
+    """
+    text_col = options.get("text_col", "text")
+    rated = with_quality(docs.select(id_col, text_col), trusted, id_col, **options)
+    return rated.select(F.col("row")[id_col].alias(id_col), *COUNTS, "base_failed", "score", "kept")
+
+
+def keep_good(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The kept rows with all their columns."""
+    return with_quality(docs, trusted, id_col, **options).filter("kept").select("row.*")

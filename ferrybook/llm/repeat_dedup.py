@@ -93,9 +93,10 @@ class Spans:
 
 
 def _anchors(length: int):
-    """Rows (anchor, whole, id, low, count, more): a document's spans.
+    """Rows (anchor, whole, id, at, more): a document's spans.
 
-    Equal spans of one document are one row; ``more`` has the starts of the others.
+    ``at`` holds a span's start and, in its low 16 bits, its number of passages. Equal
+    spans of one document are one row; ``more`` has the starts of the others, if any.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,21 +109,21 @@ def _anchors(length: int):
                 new = np.ones(len(order), dtype=bool)
                 new[1:] = (row[1:] != row[:-1]) | (whole[1:] != whole[:-1]) | (anchor[1:] != anchor[:-1])
                 heads = np.flatnonzero(new)
-                sizes = np.diff(np.append(heads, len(order)))
+                others = np.diff(np.append(heads, len(order))) - 1
                 more = pa.ListArray.from_arrays(
-                    pa.array(np.append(0, np.cumsum(sizes - 1)), pa.int32()),
+                    pa.array(np.append(0, np.cumsum(others)), pa.int32()),
                     pa.array(low[~new], pa.int64()),
+                    mask=pa.array(others == 0),
                 )
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(as_long(anchor[heads]), pa.int64()),
                         pa.array(as_long(whole[heads]), pa.int64()),
                         batch.column(0).take(pa.array(row[heads] + chunk.first)),
-                        pa.array(low[heads], pa.int64()),
-                        pa.array(count[heads], pa.int64()),
+                        pa.array(low[heads] << 16 | count[heads], pa.int64()),
                         more,
                     ],
-                    names=["anchor", "whole", "id", "low", "count", "more"],
+                    names=["anchor", "whole", "id", "at", "more"],
                 )
 
     return run
@@ -286,44 +287,51 @@ def _hash_passages(length: int):
     return run
 
 
+def _with_texts(docs: DataFrame, lists: DataFrame, of: str, how: str) -> DataFrame:
+    """Documents with the list made for them. The null-safe join adds no filter of its
+    own to ``docs``, so Spark can use one shuffle of the texts for both joins."""
+    joined = docs.join(lists, F.col("id").eqNullSafe(F.col(of)), how)
+    return joined.select(*docs.columns, *(c for c in lists.columns if c != of))
+
+
 def repeat_starts(docs: DataFrame, length: int, keep_first: bool) -> DataFrame:
     """Runs of places where a repeated passage starts: ``id``, ``start``, ``run``."""
     kind = docs.schema["id"].dataType.simpleString()
     spans = write_stage(
-        docs.mapInArrow(
-            _anchors(length),
-            f"anchor long, whole long, id {kind}, low long, count long, more array<long>",
+        docs.filter("id is not null").mapInArrow(
+            _anchors(length), f"anchor long, whole long, id {kind}, at long, more array<long>"
         )
     )
+    low, count = F.shiftright("at", 16), F.col("at").bitwiseAND(F.lit(0xFFFF))
     # A document's equal spans are one row, so a row with more of them counts at once.
     often = spans.groupBy("anchor").agg(
-        F.count(F.lit(1)).alias("rows"), F.max(F.size("more")).alias("extra")
+        F.count(F.lit(1)).alias("rows"), F.count("more").alias("rows_with_more")
     )
-    often = often.filter("rows > 1 or extra > 0").select("anchor")
+    often = often.filter("rows > 1 or rows_with_more > 0").select("anchor")
     spans = write_stage(spans.join(often, "anchor"))
-    place = F.struct("id", "low")
     classes = spans.groupBy("anchor", "whole").agg(
-        F.sum(F.size("more") + 1).alias("seen"),
-        F.min(F.struct("id", "low", "count")).alias("rep"),
+        F.sum(F.when(F.col("more").isNull(), 1).otherwise(F.size("more") + 1)).alias("seen"),
+        F.min(F.struct("id", "at")).alias("rep"),
     )
     classes = write_stage(classes)
     twice = classes.filter("seen > 1").select("anchor", "whole", "rep")
-    starts = F.concat(F.array("low"), "more")
+    more = F.coalesce("more", F.array().cast("array<bigint>"))
+    starts = F.concat(F.array(low), more)
     if keep_first:
-        starts = F.when(place == F.struct("rep.id", "rep.low"), F.col("more")).otherwise(starts)
+        starts = F.when(F.struct("id", "at") == F.col("rep"), more).otherwise(starts)
     whole = spans.join(twice, ["anchor", "whole"]).select(
-        "id", F.explode(starts).alias("start"), F.col("count").alias("run")
+        "id", F.explode(starts).alias("start"), count.alias("run")
     )
 
     groups = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes"))
     groups = groups.filter("classes > 1")
     asked = classes.join(groups, "anchor").select("anchor", "seen", "classes", "rep.*")
-    ask = F.struct("anchor", "low", "count", "seen")
-    spans_of = "anchor long, id {kind}, low long, count long, seen long, body binary".format(kind=kind)
+    ask = F.struct("anchor", low.alias("low"), count.alias("count"), "seen")
+    spans_of = f"anchor long, id {kind}, low long, count long, seen long, body binary"
 
     def bodies(part: DataFrame) -> DataFrame:
-        lists = part.groupBy("id").agg(F.collect_list(ask).alias("asked"))
-        return docs.join(lists, "id").mapInArrow(_cut_spans(length), spans_of)
+        lists = part.groupBy(F.col("id").alias("asking")).agg(F.collect_list(ask).alias("asked"))
+        return _with_texts(docs, lists, "asking", "inner").mapInArrow(_cut_spans(length), spans_of)
 
     large = asked.filter(F.col("classes") > LARGEST_GROUP)
     usual = asked.filter(F.col("classes") <= LARGEST_GROUP)
@@ -350,12 +358,15 @@ def repeat_starts(docs: DataFrame, length: int, keep_first: bool) -> DataFrame:
     return found
 
 
-def _remove(length: int):
+def _remove(length: int, text_at: int, found_at: int):
+    """Columns of each row but the last, then n_bytes, n_removed, spans and kept."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed, spans, kept, sizes = [], [], [], []
-            found = batch.column(2).to_pylist()
-            for chunk in chunks(batch.column(1)):
+            found = batch.column(found_at).to_pylist()
+            others = [i for i in range(batch.num_columns) if i not in (text_at, found_at)]
+            for chunk in chunks(batch.column(text_at)):
+                removed, spans, kept = [], [], []
                 for i in range(len(chunk)):
                     text = chunk.data[chunk.offsets[i] : chunk.offsets[i + 1]]
                     edges = np.zeros(len(text) + 1, dtype=np.int64)
@@ -363,25 +374,46 @@ def _remove(length: int):
                         edges[x["start"]] += 1
                         edges[x["start"] + x["run"] + length - 1] -= 1
                     covered = np.cumsum(edges[:-1]) > 0
-                    sizes.append(len(text))
                     removed.append(int(covered.sum()))
                     spans.append([{"start": int(a), "bytes": int(b)} for a, b in zip(*_runs(covered))])
                     kept.append(text[~covered].tobytes())
-            span = pa.list_(pa.struct([("start", pa.int64()), ("bytes", pa.int64())]))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(removed, pa.int64()),
-                    pa.array(spans, span),
-                    pa.array(kept, pa.binary()),
-                ],
-                names=["id", "n_bytes", "n_removed", "spans", "kept"],
-            )
+                span = pa.list_(pa.struct([("start", pa.int64()), ("bytes", pa.int64())]))
+                rows = batch.slice(chunk.first, len(chunk))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(rows.column(i) for i in others),
+                        pa.array(np.diff(chunk.offsets), pa.int64()),
+                        pa.array(removed, pa.int64()),
+                        pa.array(spans, span),
+                        pa.array(kept, pa.binary()),
+                        pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()),
+                    ],
+                    names=[
+                        *(batch.schema.names[i] for i in others),
+                        *("n_bytes", "n_removed", "spans", "kept", "kept_text"),
+                    ],
+                )
 
     return run
 
 
+def _cleaned(docs: DataFrame, length: int, keep_first: bool) -> DataFrame:
+    """``docs`` (id, text and others) with what is removed and what is left."""
+    if not 2 * ANCHOR <= length < 1 << 16:
+        raise ValueError(f"length must be at least {2 * ANCHOR} and below {1 << 16}")
+    starts = repeat_starts(docs.select("id", "text"), length, keep_first)
+    lists = starts.groupBy("id").agg(F.collect_set(F.struct("start", "run")).alias("found"))
+    lists = lists.withColumnRenamed("id", "found_for")
+    joined = _with_texts(docs, lists, "found_for", "left")
+    others = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
+    added = (
+        "n_bytes long, n_removed long, spans array<struct<start:long,bytes:long>>, kept binary,"
+        " kept_text string"
+    )
+    run = _remove(length, docs.columns.index("text"), len(docs.columns))
+    return joined.mapInArrow(run, ", ".join([*others, added]))
+
+
 def remove_repeats(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -407,15 +439,22 @@ def remove_repeats(
     and an anchor shared by very many different spans is resolved by passage hashes,
     counted in parallel. Equal spans and anchors are told by 64-bit hashes of both.
     """
-    if length < 2 * ANCHOR:
-        raise ValueError(f"length must be at least {2 * ANCHOR}")
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = docs.schema["id"].dataType.simpleString()
-    starts = repeat_starts(docs.filter("id is not null"), length, keep_first)
-    lists = starts.groupBy("id").agg(F.collect_set(F.struct("start", "run")).alias("found"))
-    out = docs.join(lists, "id", "left").select("id", "text", "found")
-    schema = (
-        f"id {kind}, n_bytes long, n_removed long, spans array<struct<start:long,bytes:long>>, kept binary"
-    )
-    return out.mapInArrow(_remove(length), schema).withColumnRenamed("id", id_col)
+    return _cleaned(docs, length, keep_first).drop("kept_text").withColumnRenamed("id", id_col)
+
+
+def without_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH
+) -> DataFrame:
+    """All rows and columns of ``docs``; later copies of passages are cut from the text.
 
+    A character of which a cut leaves only a part goes as a whole.
+    """
+    row = docs.select(
+        F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")
+    )
+    cleaned = _cleaned(row, length, keep_first=True)
+    columns = [
+        F.col("kept_text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns
+    ]
+    return cleaned.select(*columns)
