@@ -30,14 +30,20 @@ def exact_median(
     computed once. Nulls are skipped, as in SQL; a group with nothing but nulls
     gets a null median. Without keys the result is always one row.
     """
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    return median_of_counts(counts, keys, value, name)
+    df = df.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)), F.col(value).alias("_value"))
+    inner = [f"_key{i}" for i in range(len(keys))]
+    counts = df.groupBy(*inner, "_value").agg(F.count(F.lit(1)).alias("_n"))
+    found = median_of_counts(counts, inner, "_value", "_median")
+    return found.select(*(F.col(i).alias(k) for i, k in zip(inner, keys)), F.col("_median").alias(name))
 
 
 def median_of_counts(
     counts: DataFrame, keys: Sequence[str], value: str, name: str = "median"
 ) -> DataFrame:
-    """``exact_median`` of values that are already counted, in column ``_n``."""
+    """``exact_median`` of values that are already counted, in column ``_n``.
+
+    Keys must not begin with an underscore, but for those ``exact_median`` gives.
+    """
     keys = list(keys)
     kind = counts.schema[value].dataType
     if not isinstance(kind, DecimalType) or kind.precision > 18:

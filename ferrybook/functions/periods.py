@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 
 UNITS = ("day", "week", "month")
 
+# Metadata of a column that holds the first day of the month of ``event_day``.
+MONTH_MARK = {"ferrybook_month_of": "event_day"}
+
 
 def _check(unit: str) -> None:
     if unit not in UNITS:
@@ -18,7 +21,7 @@ def period_start(day: Column, unit: str) -> Column:
     so depend on the session's time zone.
     """
     _check(unit)
-    return day if unit == "day" else F.trunc(day, unit)
+    return day.cast("date") if unit == "day" else F.trunc(day, unit)
 
 
 def fill_gaps(periods: DataFrame, unit: str) -> DataFrame:

@@ -4,24 +4,34 @@ Windows without a partition run in one task. Here they only see sums per
 period, at most one row per calendar day however large the flows are.
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ferrybook.functions.periods import fill_gaps, period_start
-from ferrybook.functions.types import VOLUME
+from ferrybook.functions.types import volume_type
 
 
 def _volumes(df: DataFrame, unit: str, fill: bool) -> DataFrame:
     volumes = df.groupBy(period_start(F.col("event_day"), unit).alias("period")).agg(
-        F.sum("amount").cast(VOLUME).alias("volume")
+        F.sum("amount").cast(volume_type(df)).alias("volume")
     )
     return fill_gaps(volumes, unit) if fill else volumes
 
 
+def _in_order() -> WindowSpec:
+    """Periods in order, apart from the row of transfers without a day."""
+    return Window.partitionBy(F.col("period").isNull()).orderBy("period")
+
+
 def cumulative(df: DataFrame, unit: str, fill: bool = False) -> DataFrame:
-    """Volume per period and the running total up to it."""
-    so_far = Window.orderBy("period").rowsBetween(Window.unboundedPreceding, 0)
-    running = F.sum("volume").over(so_far).cast(VOLUME)
+    """Volume per period and the running total up to it.
+
+    Transfers without a day come in no order: their volume has a row of its own with
+    no running total, and is in none of the others.
+    """
+    so_far = _in_order().rowsBetween(Window.unboundedPreceding, 0)
+    running = F.sum("volume").over(so_far).cast(volume_type(df))
+    running = F.when(F.col("period").isNotNull(), running)
     return _volumes(df, unit, fill).withColumn("cumulative_volume", running)
 
 
@@ -29,10 +39,11 @@ def period_change(df: DataFrame, unit: str, fill: bool = False) -> DataFrame:
     """Volume per period and its change from the previous one; null in the first.
 
     The previous period is the last one with transfers, or with ``fill`` the
-    one before in the calendar.
+    one before in the calendar. Transfers without a day have no previous period and
+    are none: their row has a null change.
     """
-    previous = F.lag("volume").over(Window.orderBy("period"))
-    change = (F.col("volume") - previous).cast(VOLUME)
+    previous = F.lag("volume").over(_in_order())
+    change = (F.col("volume") - previous).cast(volume_type(df))
     return _volumes(df, unit, fill).withColumn("change", change)
 
 
@@ -47,8 +58,8 @@ def trailing_volume(df: DataFrame, days: int) -> DataFrame:
     recent = Window.orderBy(F.unix_date("event_day")).rangeBetween(-(days - 1), 0)
     return (
         df.groupBy("event_day")
-        .agg(F.sum("amount").cast(VOLUME).alias("volume"))
-        .withColumn("trailing_volume", F.sum("volume").over(recent).cast(VOLUME))
+        .agg(F.sum("amount").cast(volume_type(df)).alias("volume"))
+        .withColumn("trailing_volume", F.sum("volume").over(recent).cast(volume_type(df)))
         .withColumn("trailing_mean", F.col("trailing_volume").cast("double") / F.lit(days))
     )
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ferrybook.operators import aggregates, series
 from ferrybook.operators.filters import filter_flows
 from ferrybook.sources.stand_in import flows
+from ferrybook.sources.transfers import as_flows
 
 # Parameters the reports share with the SQL in plans/sql.py.
 START, END = date(1996, 3, 15), date(1998, 9, 1)
@@ -29,15 +30,31 @@ def _top_routes_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.top_routes(chosen, 10)
 
 
+def _line_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as transfers from their return flag to their status."""
+    return as_flows(
+        spark.read.parquet(f"{sf_dir}/lineitem.parquet"),
+        source="l_returnflag",
+        destination="l_linestatus",
+        user_id="l_suppkey",
+        event_day="l_shipdate",
+        amount="l_extendedprice",
+    )
+
+
 def reports() -> dict[str, Report]:
     return {
         "flows": flows,
+        "as_flows": _line_flows,
         "filter_flows": _over_flows(filter_flows, START, END, SOURCES, DESTINATIONS),
         "totals": _over_flows(aggregates.totals),
         "by_day": _over_flows(aggregates.by_period, "day"),
         "by_day_filled": _over_flows(aggregates.by_period, "day", fill=True),
         "by_week": _over_flows(aggregates.by_period, "week"),
         "by_month": _over_flows(aggregates.by_period, "month"),
+        "by_week_filled": _over_flows(aggregates.by_period, "week", fill=True),
+        "by_month_filled": _over_flows(aggregates.by_period, "month", fill=True),
+        "cumulative_day_filled": _over_flows(series.cumulative, "day", fill=True),
         "cumulative_week": _over_flows(series.cumulative, "week"),
         "cumulative_month": _over_flows(series.cumulative, "month"),
         "period_change_day_filled": _over_flows(series.period_change, "day", fill=True),

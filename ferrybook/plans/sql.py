@@ -56,10 +56,30 @@ def _cumulative(unit: str) -> str:
     return f"""
 with {FLOWS}, {_volumes(unit)}
 select period, volume,
-       cast(sum(volume) over (order by period {RUNNING}) as decimal(38,4)) as cumulative_volume
+       case when period is not null then
+         cast(sum(volume) over (partition by period is null order by period {RUNNING})
+              as decimal(38,4)) end as cumulative_volume
 from sums"""
 
 
+def _calendar(unit: str) -> str:
+    return f"""
+calendar as (
+  select cast(unnest(generate_series(date_trunc('{unit}', min(event_day)),
+                                     date_trunc('{unit}', max(event_day)), interval 1 {unit}))
+              as date) as period
+  from flows)"""
+
+
+def _by_period_filled(unit: str) -> str:
+    return f"""
+with {FLOWS}, {_calendar(unit)}
+select period, count(source) as transfers, count(distinct user_id) as users,
+       cast(coalesce(sum(amount), 0) as decimal(38,4)) as volume
+from calendar left join flows on period = {_start(unit)}
+group by period"""
+
+
 def _trailing(days: int) -> str:
     return f"""
 with {FLOWS}, sums as (select event_day, {VOLUME} from flows group by 1), recent as (
@@ -78,7 +98,8 @@ with {FLOWS}, routes as (
   from flows where {where} group by source, destination)
 select row_number() over (order by volume desc, source, destination) as rank,
        source, destination, transfers, volume,
-       round(cast(volume as double) / cast((select sum(volume) from routes) as double), 10)
+       round(cast(volume as double)
+             / nullif(cast((select sum(volume) from routes) as double), 0), 10)
          as share
 from routes
 order by volume desc, source, destination
@@ -124,6 +145,20 @@ select period, count(source) as transfers, count(distinct user_id) as users,
        cast(coalesce(sum(amount), 0) as decimal(38,4)) as volume
 from calendar left join flows on period = event_day
 group by period""",
+        "as_flows": """
+select l_returnflag as source, l_linestatus as destination, l_suppkey as user_id,
+       cast(l_shipdate as date) as event_day, cast(l_extendedprice as decimal(18,4)) as amount
+from lineitem""",
+        "by_week_filled": _by_period_filled("week"),
+        "by_month_filled": _by_period_filled("month"),
+        "cumulative_day_filled": f"""
+with {FLOWS}, {_calendar("day")}, sums as (
+  select period, cast(coalesce(sum(amount), 0) as decimal(38,4)) as volume
+  from calendar left join flows on period = event_day
+  group by period)
+select period, volume,
+       cast(sum(volume) over (order by period {RUNNING}) as decimal(38,4)) as cumulative_volume
+from sums""",
         "by_week": _by_period("week"),
         "by_month": _by_period("month"),
         "cumulative_week": _cumulative("week"),
@@ -134,12 +169,12 @@ with {FLOWS}, {CALENDAR}, sums as (
   from calendar left join flows on period = event_day
   group by period)
 select period, volume,
-       cast(volume - lag(volume) over (order by period) as decimal(38,4)) as change
+       cast(volume - lag(volume) over (partition by period is null order by period) as decimal(38,4)) as change
 from sums""",
         "period_change_month": f"""
 with {FLOWS}, {_volumes("month")}
 select period, volume,
-       cast(volume - lag(volume) over (order by period) as decimal(38,4)) as change
+       cast(volume - lag(volume) over (partition by period is null order by period) as decimal(38,4)) as change
 from sums""",
         "trailing_volume_7": _trailing(7),
         "trailing_volume_30": _trailing(30),

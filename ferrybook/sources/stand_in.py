@@ -22,12 +22,12 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = (
         table("supplier")
         .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-        .select("s_suppkey", F.col("n_name").alias("source"))
+        .select("s_suppkey", "s_nationkey", F.col("n_name").alias("source"))
     )
     customers = (
         table("customer")
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-        .select("c_custkey", F.col("n_name").alias("destination"))
+        .select("c_custkey", "c_nationkey", F.col("n_name").alias("destination"))
     )
     orders = (
         table("orders")
@@ -42,7 +42,7 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
-        .filter(F.col("source") != F.col("destination"))
+        .filter(F.col("s_nationkey") != F.col("c_nationkey"))
         .select(
             "source",
             "destination",
