@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from ferrybook.llm.common import write_stage
 from ferrybook.llm.words import Chunk, as_long, chunks, segment_of, space_table, split_words
 
-CLASS_BITS = 7
+CLASS_BITS = 6
 CLASSES = 1 << CLASS_BITS
 #: Class 0 is the end; then come single words, then endings, then all other words.
-SINGLE, ENDINGS = 63, 63
+SINGLE, ENDINGS = 31, 31
 FIRST_ENDING = 1 + SINGLE
 OTHER = CLASSES - 1
 #: Words whose counts every task has at hand: the most frequent ones, 4 MB. The counts
@@ -134,8 +134,8 @@ def train(counts: np.ndarray, valid: np.ndarray, steps: int = STEPS) -> np.ndarr
     frequencies as noise. Data and noise are averaged over exactly, as all contexts
     and classes fit one matrix product.
     """
-    weights = counts.reshape(CLASSES * CLASSES, CLASSES).astype(np.float64)
-    weights = (weights / max(weights.sum(), 1.0)).astype(np.float32)
+    weights = counts.reshape(CLASSES * CLASSES, CLASSES) / max(counts.sum(), 1)
+    weights = weights.astype(np.float32)
     of_context = weights.sum(axis=1, keepdims=True)
     noise = weights.sum(axis=0) + 1e-6
     noise = noise / noise.sum()
@@ -229,7 +229,7 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     valid[1 + len(single) : FIRST_ENDING] = False
 
     triples = docs.select("text").mapInArrow(_count_triples(classes), "code long, n long")
-    triples = triples.groupBy("code").agg(F.sum("n").alias("n")).toPandas()  # 2**21 rows at most
+    triples = triples.groupBy("code").agg(F.sum("n").alias("n")).toPandas()  # 2**18 rows at most
     table = np.zeros(CLASSES**3, dtype=np.int64)
     table[triples["code"].to_numpy(np.int64)] = triples["n"].to_numpy(np.int64)
     hot_words = hot["word"].to_numpy(np.int64).view(np.uint64)
