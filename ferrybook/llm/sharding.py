@@ -53,6 +53,12 @@ class Cuts:
         )
         return sorted((Range(r[0] << bits, bits, r[1], r[2]) for r in rows), key=lambda r: r.low)
 
+    def _where(self, spans: list[list[int]]) -> Column:
+        where = F.lit(False)
+        for low, high in spans:
+            where = where | F.col("key").between(low, high)
+        return where
+
     def _index(self) -> None:
         self.ends = [0, *accumulate(r.bytes for r in self.ranges)]
 
@@ -89,9 +95,10 @@ class Cuts:
         picked = {i for i in picked if i < len(self.ranges) and self.ranges[i].groups > 1}
         if not picked:
             return
-        start = min(self.ranges[i].bits for i in picked)
-        start = max(start, max(self.ranges[i].bits for i in picked) - HISTOGRAM_BITS)
-        bits = max(0, start - max(1, HISTOGRAM_BITS - len(picked).bit_length()))
+        # The coarsest first, so that no range becomes coarser again.
+        coarsest = max(self.ranges[i].bits for i in picked)
+        picked = {i for i in picked if self.ranges[i].bits == coarsest}
+        bits = max(0, coarsest - max(1, HISTOGRAM_BITS - len(picked).bit_length()))
         spans: list[list[int]] = []
         for i in sorted(picked):
             low = self.ranges[i].low
@@ -100,9 +107,7 @@ class Cuts:
                 spans[-1][1] = high
             else:
                 spans.append([low, high])
-        where = F.lit(False)
-        for low, high in spans:
-            where = where | F.col("key").between(low, high)
+        where = self._where(spans)
         kept = [r for i, r in enumerate(self.ranges) if i not in picked]
         self.ranges = sorted(kept + self._histogram(where, bits), key=lambda r: r.low)
         self._index()

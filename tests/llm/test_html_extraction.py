@@ -29,7 +29,7 @@ def test_without_an_article_blocks_decide():
 
 def test_broken_and_empty_pages():
     assert main_text(None) == main_text("") == main_text("<<<>>> <a <b") == main_text("<script>x") == ""
-    assert main_text("<article>a < b &amp; c &notanentity; <p title='x>y'>d") == "a < b & c &notanentity; d"
+    assert main_text("<article>a < b &amp; c &zzz; <p title='x>y'>d") == "a < b & c &zzz; d"
     assert main_text("<article>" + "<p>x" * 5000) == " ".join(["x"] * 5000)
     assert main_text("<article>" + "<a '" * 30000).count("<a") <= 30000
     assert main_text("<article><p>x</p></b></div></article></article>") == "x"

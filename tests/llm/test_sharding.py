@@ -1,5 +1,6 @@
 """Shards against a search over all group sizes in plain Python."""
 
+import random
 import zlib
 
 import pytest
@@ -52,9 +53,52 @@ def check(spark, rows, shards):
     return loads
 
 
-@pytest.mark.parametrize("bits", [16, 3])
-def test_smallest_largest_shard(spark, monkeypatch, bits):
-    monkeypatch.setattr(sharding, "HISTOGRAM_BITS", bits)  # 3: many looks are needed
+class ListCuts(sharding.Cuts):
+    """The search over (key, bytes) pairs in memory."""
+
+    def __init__(self, groups, shards):
+        self.groups, self.shards, self.looks = groups, shards, 0
+        self.spans = [(-(1 << 63), (1 << 63) - 1)]
+        self.ranges = self._histogram(None, sharding.KEY_BITS - sharding.HISTOGRAM_BITS)
+        self._index()
+        self.largest = max(size for _, size in groups)
+
+    def _where(self, spans):
+        self.spans = spans
+
+    def _histogram(self, where, bits):
+        self.looks += 1
+        assert self.looks < 500
+        found = {}
+        for key, size in self.groups:
+            if any(a <= key <= b for a, b in self.spans):
+                found.setdefault(key >> bits, []).append(size)
+        return sorted(
+            (sharding.Range(k << bits, bits, sum(v), len(v)) for k, v in found.items()), key=lambda r: r.low
+        )
+
+
+@pytest.mark.parametrize("bits", [2, 5])
+@pytest.mark.parametrize("seed", range(25))
+def test_search_looks_closer_until_it_is_exact(monkeypatch, bits, seed):
+    monkeypatch.setattr(sharding, "HISTOGRAM_BITS", bits)
+    rng = random.Random(seed)
+    n = rng.choice([1, 5, 40, 300])
+    keys = sorted({rng.randrange(-(1 << 63), 1 << 63) >> rng.choice([0, 0, 40]) for _ in range(n)})
+    groups = [(k, rng.choice([1, 50, rng.randrange(1, 3000), 100_000 if seed % 3 == 0 else 7])) for k in keys]
+    shards = rng.choice([1, 2, 16])
+    cuts = ListCuts(groups, shards)
+    first = cuts.keys()
+    sizes = [s for _, s in groups]
+    assert cuts.capacity() == smallest_capacity(sizes, shards)
+    assert first == sorted(set(first)) and len(first) < shards
+    loads = [0] * shards
+    for k, s in groups:
+        loads[sum(k >= f for f in first)] += s
+    assert max(loads) == smallest_capacity(sizes, shards)
+
+
+def test_smallest_largest_shard(spark):
     rows = [(i, prose(i, 1 + i * 7 % 50)) for i in range(150)]
     loads = check(spark, rows, 16)
     assert len(loads) == 16 and min(loads.values()) > 0.5 * max(loads.values())
