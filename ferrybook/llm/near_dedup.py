@@ -39,7 +39,7 @@ DEVIATIONS = 5.0
 #: Buckets of up to this many members are compared in full at once. In larger ones,
 #: each round compares ``GROWTH`` times as many members with all others.
 SMALL_BUCKET = 8
-GROWTH = 64
+GROWTH = 16
 
 
 def _multipliers() -> tuple[np.ndarray, np.ndarray]:
@@ -228,7 +228,7 @@ def _links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Component label of every representative that has a link: ``id``, ``label``.
 
     First the members of small buckets are compared with each other, and those of
-    larger ones with the bucket's smallest id. After that only larger buckets with
+    larger ones with the bucket's center. After that only larger buckets with
     members in different components are looked at, and there only pairs across
     components: in each round more members, chosen by a hash, are compared with all
     others, until all have been. So a bucket of copies costs its size, not its square,
@@ -237,19 +237,27 @@ def _links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """
     signatures = reps.select("rep", "signature")
     banded = reps.select("rep", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(
-        F.min("rep").alias("center"), F.count(F.lit(1)).alias("members")
-    )
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
     members = cut_lineage(banded.join(shared.filter("members > 1"), "key"))
+    # The center of a bucket is the member that shares most bands with others: in a
+    # family of copies that is the text they come from, or the one nearest to it.
+    degrees = members.groupBy("rep").agg(F.sum("members").alias("degree"))
+    centers = (
+        members.filter(F.col("members") > SMALL_BUCKET)
+        .join(degrees, "rep")
+        .groupBy("key")
+        .agg(F.max(F.struct("degree", "rep")).alias("most"))
+        .select("key", F.col("most.rep").alias("center"))
+    )
     # Texts of documents in some bucket, so that the others are read once only.
     texts = write_stage(docs.join(members.select(F.col("rep").alias("id")).distinct(), "id"))
 
     small = members.filter(F.col("members") <= SMALL_BUCKET).select("key", "rep")
     others = small.withColumnRenamed("rep", "other")
     in_small = small.join(others, "key").filter("rep < other")
-    stars = members.filter((F.col("members") > SMALL_BUCKET) & (F.col("rep") != F.col("center")))
+    stars = members.join(centers, "key").filter("rep <> center")
     pairs = in_small.select(F.col("rep").alias("a"), F.col("other").alias("b")).unionByName(
-        stars.select(F.col("center").alias("a"), F.col("rep").alias("b"))
+        stars.select(F.least("center", "rep").alias("a"), F.greatest("center", "rep").alias("b"))
     )
     pairs = cut_lineage(_likely(pairs.distinct(), signatures, percent))
     edges = cut_lineage(_confirm(pairs, texts, percent))

@@ -289,8 +289,9 @@ def _hash_passages(length: int):
 
 def _with_texts(docs: DataFrame, lists: DataFrame, of: str, how: str) -> DataFrame:
     """Documents with the list made for them. The null-safe join adds no filter of its
-    own to ``docs``, so Spark can use one shuffle of the texts for both joins."""
-    joined = docs.join(lists, F.col("id").eqNullSafe(F.col(of)), how)
+    own to ``docs``, so Spark can use one shuffle of the texts for both joins. The lists
+    grow with the documents, so the plan is the same at every size: no broadcast."""
+    joined = docs.join(lists.hint("merge"), F.col("id").eqNullSafe(F.col(of)), how)
     return joined.select(*docs.columns, *(c for c in lists.columns if c != of))
 
 

@@ -26,7 +26,9 @@ from ferrybook.llm.words import BYTE_VALUES, chunks, mix, powers, prefix_sums
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE_MARK = "▁"
-BATCH_BYTES = 3 << 20
+BATCH_BYTES = 1 << 20
+#: Ids that are decoded at a time, unless one text alone has more.
+DECODED_IDS = 1 << 19
 #: Words and pieces that a task remembers before it starts afresh.
 KNOWN_WORDS, KNOWN_IDS = 1 << 20, 1 << 23
 GAP = 0xFF  # between words; it occurs in no UTF-8 text
@@ -238,7 +240,10 @@ class Encoder:
 
     def learn(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> None:
         words, first = np.unique(hashes, return_index=True)
-        new = ~np.isin(words, self.words)
+        new = np.ones(len(words), dtype=bool)
+        if len(self.words):
+            at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+            new = self.words[at] != words
         if len(self.words) + new.sum() > KNOWN_WORDS or len(self.ids) > KNOWN_IDS:
             self.forget()
             new[:] = True
@@ -253,11 +258,10 @@ class Encoder:
         counts, ids = self.encode_words(own, own_starts, size)
         begins = np.cumsum(counts) - counts + len(self.ids)
         self.ids = np.concatenate((self.ids, ids))
-        merged = np.concatenate((self.words, words))
-        order = np.argsort(merged)
-        self.words = merged[order]
-        self.begins = np.concatenate((self.begins, begins))[order]
-        self.counts = np.concatenate((self.counts, counts))[order]
+        at = np.searchsorted(self.words, words)  # both are sorted
+        self.words = np.insert(self.words, at, words)
+        self.begins = np.insert(self.begins, at, begins)
+        self.counts = np.insert(self.counts, at, counts)
 
     def encode(self, texts: pa.Array) -> Iterator[pa.ListArray]:
         """Ids of the texts, in parts that together have all rows in order."""
@@ -349,10 +353,16 @@ def _decode(shared):
         for byte, i in enumerate(known["byte_ids"]):
             bodies[i] = bytes([byte])
         for batch in batches:
-            ids = batch.column(batch.num_columns - 1).fill_null([])
-            texts = decode_batch(ids, bodies)
-            names = [*batch.schema.names, "decoded"]
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=names)
+            sizes = np.cumsum(pc.list_value_length(batch.column(batch.num_columns - 1)).fill_null(0))
+            at = 0
+            while at < batch.num_rows:
+                before = sizes[at - 1] if at else 0
+                end = max(at + 1, int(np.searchsorted(sizes, before + DECODED_IDS, side="right")))
+                part = batch.slice(at, end - at)
+                texts = decode_batch(part.column(part.num_columns - 1).fill_null([]), bodies)
+                names = [*part.schema.names, "decoded"]
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=names)
+                at = end
 
     return run
 
