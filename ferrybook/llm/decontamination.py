@@ -137,11 +137,17 @@ def _document_hits(masks: Sequence[str], filled: np.ndarray):
 def best_overlap(document: np.ndarray, item: np.ndarray, offset: int) -> tuple[int, int, int]:
     """The best run along an alignment: start in the document, tokens, equal tokens.
 
-    Equal tokens count 1, substituted ones cost ``SUBSTITUTION``; the run with the
-    largest sum wins.
+    The whole overlap, from its first to its last equal token, if enough of it is
+    equal. Else equal tokens count 1, substituted ones cost ``SUBSTITUTION``, and the
+    run with the largest sum wins.
     """
     start, end = max(0, offset), min(len(document), offset + len(item))
     equal = document[start:end] == item[start - offset : end - offset]
+    places = np.flatnonzero(equal)
+    if len(places):
+        first, tokens = int(places[0]), int(places[-1] - places[0]) + 1
+        if len(places) >= LEAST_EQUAL * tokens:
+            return start + first, tokens, len(places)
     sums = np.append(0, np.cumsum(np.where(equal, 1, -SUBSTITUTION)))
     gain = sums - np.minimum.accumulate(sums)
     stop = int(gain.argmax())
