@@ -24,10 +24,11 @@ def exact_median(
     which a group with a third of all rows would overflow. Here equal values are
     counted first (combined before the shuffle), then counted again in coarse
     and coarser value ranges. From the coarsest level down, the range that holds
-    the middle rank is picked, and only its rows go on to the next level.
+    the middle rank is picked, and a join keeps only its rows for the next level.
 
     The three levels share one shuffle of the value counts, so ``df`` is
-    computed once. Nulls are skipped, as in SQL; a group with nothing but nulls
+    computed once. With keys, the join on the picked ranges shuffles the value
+    counts a second time before it can drop any. Nulls are skipped, as in SQL; a group with nothing but nulls
     gets a null median. Without keys the result is always one row.
     """
     df = df.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)), F.col(value).alias("_value"))
