@@ -15,7 +15,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrybook.llm.common import cut_lineage, write_stage
@@ -39,7 +39,9 @@ DEVIATIONS = 5.0
 #: Buckets of up to this many members are compared in full at once. In larger ones,
 #: each round compares ``GROWTH`` times as many members with all others.
 SMALL_BUCKET = 8
-GROWTH = 16
+GROWTH = 64
+#: So many most similar partners of a document are confirmed before all others.
+NEAREST = 4
 
 
 def _multipliers() -> tuple[np.ndarray, np.ndarray]:
@@ -148,14 +150,19 @@ def estimated_similarity(a: str, b: str) -> Column:
     return (equal - chance) / (1 - chance)
 
 
-def _likely(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose estimate does not rule out the threshold."""
+def _least_estimate(percent: int) -> float:
+    """The estimate below which a pair cannot reach the threshold (but by chance)."""
     t = percent / 100
-    least = t - DEVIATIONS * (t * (1 - t) / (BANDS * ROWS)) ** 0.5 - 2.0**-BITS / 2
+    return t - DEVIATIONS * (t * (1 - t) / (BANDS * ROWS)) ** 0.5 - 2.0**-BITS / 2
+
+
+def _likely(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose estimate does not rule out the threshold, with the estimate."""
     left = signatures.select(F.col("rep").alias("a"), F.col("signature").alias("sa"))
     right = signatures.select(F.col("rep").alias("b"), F.col("signature").alias("sb"))
     joined = pairs.join(left, "a").join(right, "b")
-    return joined.filter(estimated_similarity("sa", "sb") >= least).select("a", "b")
+    estimated = joined.select("a", "b", estimated_similarity("sa", "sb").alias("estimate"))
+    return estimated.filter(F.col("estimate") >= _least_estimate(percent))
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -224,6 +231,37 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _link_up(
+    pairs: DataFrame, edges: DataFrame | None, texts: DataFrame, percent: int
+) -> tuple[DataFrame, DataFrame]:
+    """Edges and labels after the likely pairs (a, b, estimate) are confirmed.
+
+    The most promising pairs of each document come first. In a family of copies they
+    join nearly all of it, and of the others only those across components are left.
+    """
+    ends = reduce(
+        DataFrame.unionByName, [pairs.select(F.col(x).alias("end"), "a", "b", "estimate") for x in "ab"]
+    )
+    best = Window.partitionBy("end").orderBy(F.desc("estimate"), "a", "b")
+    first = ends.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= NEAREST)
+    first = cut_lineage(first.select("a", "b").distinct())
+    found = _confirm(first, texts, percent)
+    edges = cut_lineage(found if edges is None else edges.unionByName(found))
+    labels = components(edges)
+    rest = pairs.select("a", "b").join(first, ["a", "b"], "left_anti")
+    for x in "ab":
+        named = labels.select(F.col("id").alias(x), F.col("label").alias(f"label_{x}"))
+        rest = rest.join(named, x, "left").withColumn(f"label_{x}", F.coalesce(f"label_{x}", x))
+    rest = cut_lineage(rest.filter("label_a <> label_b").select("a", "b"))
+    if rest.isEmpty():
+        return edges, labels
+    found = cut_lineage(_confirm(rest, texts, percent))
+    if found.isEmpty():
+        return edges, labels
+    edges = edges.unionByName(found)
+    return edges, components(edges)
+
+
 def _links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Component label of every representative that has a link: ``id``, ``label``.
 
@@ -231,14 +269,19 @@ def _links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     larger ones with the bucket's center. After that only larger buckets with
     members in different components are looked at, and there only pairs across
     components: in each round more members, chosen by a hash, are compared with all
-    others, until all have been. So a bucket of copies costs its size, not its square,
-    and no pair of candidates is left out unless its two ends are already in one
-    component.
+    others, until all have been. No pair of candidates is left out unless its two ends
+    are already in one component.
     """
     signatures = reps.select("rep", "signature")
     banded = reps.select("rep", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
     members = cut_lineage(banded.join(shared.filter("members > 1"), "key"))
+    # Texts of documents in some bucket, so that the others are read once only.
+    texts = write_stage(docs.join(members.select(F.col("rep").alias("id")).distinct(), "id"))
+
+    small = members.filter(F.col("members") <= SMALL_BUCKET).select("key", "rep")
+    others = small.withColumnRenamed("rep", "other")
+    in_small = small.join(others, "key").filter("rep < other")
     # The center of a bucket is the member that shares most bands with others: in a
     # family of copies that is the text they come from, or the one nearest to it.
     degrees = members.groupBy("rep").agg(F.sum("members").alias("degree"))
@@ -249,19 +292,12 @@ def _links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
         .agg(F.max(F.struct("degree", "rep")).alias("most"))
         .select("key", F.col("most.rep").alias("center"))
     )
-    # Texts of documents in some bucket, so that the others are read once only.
-    texts = write_stage(docs.join(members.select(F.col("rep").alias("id")).distinct(), "id"))
-
-    small = members.filter(F.col("members") <= SMALL_BUCKET).select("key", "rep")
-    others = small.withColumnRenamed("rep", "other")
-    in_small = small.join(others, "key").filter("rep < other")
     stars = members.join(centers, "key").filter("rep <> center")
     pairs = in_small.select(F.col("rep").alias("a"), F.col("other").alias("b")).unionByName(
         stars.select(F.least("center", "rep").alias("a"), F.greatest("center", "rep").alias("b"))
     )
     pairs = cut_lineage(_likely(pairs.distinct(), signatures, percent))
-    edges = cut_lineage(_confirm(pairs, texts, percent))
-    labels = components(edges)
+    edges, labels = _link_up(pairs, None, texts, percent)
 
     share = F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     done, upto = 0, GROWTH
@@ -279,24 +315,31 @@ def _links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
             .filter("low <> high")
             .select("key")
         )
-        named = cut_lineage(named.join(open_keys, "key").filter(F.col("place") >= done))
+        named = named.join(open_keys, "key").filter(F.col("place") >= done)
+        named = cut_lineage(named.join(signatures, "rep"))
         if named.isEmpty():
             return labels
         pivots = named.filter(F.col("place") < upto).select(
-            "key", F.col("rep").alias("pivot"), F.col("label").alias("pivot_label")
+            "key",
+            F.col("rep").alias("pivot"),
+            F.col("label").alias("pivot_label"),
+            F.col("signature").alias("pivot_signature"),
+        )
+        estimate = estimated_similarity("signature", "pivot_signature")
+        # The estimate is part of the join: pairs it rules out are never rows.
+        across = named.withColumnRenamed("key", "of_key").join(
+            pivots,
+            (F.col("of_key") == F.col("key"))
+            & (F.col("label") != F.col("pivot_label"))
+            & (estimate >= _least_estimate(percent)),
         )
-        across = named.join(pivots, "key").filter("label <> pivot_label")
-        pairs = across.select(
+        pairs = across.groupBy(
             F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")
-        ).distinct()
-        pairs = cut_lineage(_likely(pairs, signatures, percent))
+        ).agg(F.max(estimate).alias("estimate"))
+        pairs = cut_lineage(pairs)
         done, upto = upto, upto * GROWTH
-        if pairs.isEmpty():
-            continue
-        added = cut_lineage(_confirm(pairs, texts, percent))
-        if not added.isEmpty():
-            edges = edges.unionByName(added)
-            labels = components(edges)
+        if not pairs.isEmpty():
+            edges, labels = _link_up(pairs, edges, texts, percent)
 
 
 def near_duplicates(
