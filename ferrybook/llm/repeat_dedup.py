@@ -141,7 +141,7 @@ def _cut_spans(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             asked = batch.column(2).to_pylist()
-            rows, anchor, low, count, seen, body = [], [], [], [], [], []
+            rows, anchor, low, count, seen, body, classes = [], [], [], [], [], [], []
             for chunk in chunks(batch.column(1)):
                 for i in range(len(chunk)):
                     text = chunk.data[chunk.offsets[i] : chunk.offsets[i + 1]]
@@ -151,6 +151,7 @@ def _cut_spans(length: int):
                         low.append(x["low"])
                         count.append(x["count"])
                         seen.append(x["seen"])
+                        classes.append(x["classes"])
                         body.append(text[x["low"] : x["low"] + x["count"] + length - 1].tobytes())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -160,8 +161,9 @@ def _cut_spans(length: int):
                     pa.array(count, pa.int64()),
                     pa.array(seen, pa.int64()),
                     pa.array(body, pa.binary()),
+                    pa.array(classes, pa.int64()),
                 ],
-                names=["anchor", "id", "low", "count", "seen", "body"],
+                names=["anchor", "id", "low", "count", "seen", "body", "classes"],
             )
 
     return run
@@ -327,25 +329,23 @@ def repeat_starts(docs: DataFrame, length: int, keep_first: bool) -> DataFrame:
     groups = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes"))
     groups = groups.filter("classes > 1")
     asked = classes.join(groups, "anchor").select("anchor", "seen", "classes", "rep.*")
-    ask = F.struct("anchor", low.alias("low"), count.alias("count"), "seen")
-    spans_of = f"anchor long, id {kind}, low long, count long, seen long, body binary"
-
-    def bodies(part: DataFrame) -> DataFrame:
-        lists = part.groupBy(F.col("id").alias("asking")).agg(F.collect_list(ask).alias("asked"))
-        return _with_texts(docs, lists, "asking", "inner").mapInArrow(_cut_spans(length), spans_of)
-
-    large = asked.filter(F.col("classes") > LARGEST_GROUP)
-    usual = asked.filter(F.col("classes") <= LARGEST_GROUP)
+    ask = F.struct("anchor", low.alias("low"), count.alias("count"), "seen", "classes")
+    spans_of = f"anchor long, id {kind}, low long, count long, seen long, body binary, classes long"
+
+    lists = asked.groupBy(F.col("id").alias("asking")).agg(F.collect_list(ask).alias("asked"))
+    with_texts = _with_texts(docs, lists, "asking", "inner")
+    bodies = write_stage(with_texts.mapInArrow(_cut_spans(length), spans_of))
+    large = bodies.filter(F.col("classes") > LARGEST_GROUP).drop("classes")
+    usual = bodies.filter(F.col("classes") <= LARGEST_GROUP).drop("classes")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     matched = (
-        bodies(usual)
-        .repartition(tasks, "anchor")
+        usual.repartition(tasks, "anchor")
         .sortWithinPartitions("anchor", "id", "low")
         .mapInArrow(_match_spans(length, keep_first), f"id {kind}, start long, run long")
     )
     found = whole.unionByName(matched)
     if not large.isEmpty():
-        passages = bodies(large).mapInArrow(
+        passages = large.mapInArrow(
             _hash_passages(length), f"passage long, anchor long, id {kind}, start long, seen long"
         )
         passages = write_stage(passages)
