@@ -169,5 +169,10 @@ def rate_quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", **
 
 
 def keep_good(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The kept rows with all their columns."""
-    return with_quality(docs, trusted, id_col, **options).filter("kept").select("row.*")
+    """The kept rows with all their columns.
+
+    A filter would be pushed below the steps that prepare the counts, and these be
+    evaluated anew for each word; a generator that gives one row or none is not.
+    """
+    rated = with_quality(docs, trusted, id_col, **options)
+    return rated.select(F.inline(F.when(F.col("kept"), F.array("row"))))
