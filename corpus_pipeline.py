@@ -40,7 +40,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the texts that are left."""
-    return encode_texts(docs).select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids")
+    return encode_texts(docs, with_text=False).select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids")
 
 
 STAGES = [

@@ -15,7 +15,7 @@ from ferrybook.llm.lm_scoring import score_texts
 from ferrybook.llm.near_dedup import near_duplicates
 from ferrybook.llm.quality_rules import rate_quality
 from ferrybook.llm.repeat_dedup import remove_repeats
-from ferrybook.llm.sentence_pieces import decode_ids, encode_texts
+from ferrybook.llm.sentence_pieces import encode_texts
 from ferrybook.llm.sharding import shard_documents
 from ferrybook.llm.url_filters import RULES, judge_urls, rule_table
 
@@ -68,14 +68,8 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, and whether decoding them gives the text back."""
-    coded = decode_ids(encode_texts(table(spark, sf_dir, "documents")))
-    text = F.coalesce("text", F.lit(""))
-    return coded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_ids"),
-        "ids",
-        (F.col("decoded") == text).alias("round_trip"),
-    )
+    coded = encode_texts(table(spark, sf_dir, "documents"), with_text=False, verify=True)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip")
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,9 @@ BATCH_BYTES = 1 << 20
 #: Ids that are decoded at a time, unless one text alone has more.
 DECODED_IDS = 1 << 19
 #: Words and pieces that a task remembers before it starts afresh.
-KNOWN_WORDS, KNOWN_IDS = 1 << 20, 1 << 23
+KNOWN_WORDS, KNOWN_IDS, KNOWN_PAIRS = 1 << 20, 1 << 23, 1 << 20
+#: Bytes of text that are copied and worked on at a time, unless one text has more.
+SLICE_BYTES = 1 << 22
 GAP = 0xFF  # between words; it occurs in no UTF-8 text
 
 
@@ -168,6 +170,8 @@ class Encoder:
         code = left << 32 | right
         pairs, back = np.unique(code, return_inverse=True)
         out = np.empty(len(pairs), dtype=bool)
+        if len(self.agreed) > KNOWN_PAIRS:
+            self.agreed.clear()
         for k, pair in enumerate(pairs.tolist()):
             known = self.agreed.get(pair)
             if known is None:
@@ -293,40 +297,77 @@ class Encoder:
             yield pa.ListArray.from_arrays(pa.array(limits, pa.int32()), pa.array(ids))
 
 
-def _encode(shared):
+def slices(batch: pa.RecordBatch, sizes: pa.Array, limit: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in parts whose sizes add up to ``limit`` at most, or single rows."""
+    ends = np.cumsum(np.asarray(sizes.fill_null(0), dtype=np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def _encode(shared, with_text: bool, verify: bool):
+    def rows_of(encoder: Encoder, part: pa.RecordBatch, bodies: list[bytes]) -> Iterator[pa.RecordBatch]:
+        at = 0
+        for ids in encoder.encode(part.column(1)):
+            rows = part.slice(at, len(ids))
+            at += len(ids)
+            out = {"id": rows.column(0)}
+            if with_text:
+                out["text"] = rows.column(1)
+            out["ids"] = ids
+            if verify:
+                out["round_trip"] = pc.equal(decode_batch(ids, bodies), rows.column(1).fill_null(""))
+            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         # The value of a broadcast lives as long as the worker, and with it the encoder.
         if "encoder" not in known:
             known["encoder"] = Encoder(known["pieces"], known["scores"], known["byte_ids"])
-        encoder = known["encoder"]
+        bodies = piece_bodies(known) if verify else []
         for batch in batches:
-            at = 0
-            for ids in encoder.encode(batch.column(1)):
-                rows = batch.slice(at, len(ids))
-                yield pa.RecordBatch.from_arrays([*rows.columns, ids], names=["id", "text", "ids"])
-                at += len(ids)
+            for part in slices(batch, pc.binary_length(batch.column(1)), SLICE_BYTES):
+                yield from rows_of(known["encoder"], part, bodies)
 
     return run
 
 
 def encode_texts(
-    docs: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    model_path: str = MODEL,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    with_text: bool = True,
+    verify: bool = False,
 ) -> DataFrame:
     """``id_col``, ``text_col`` and ``ids`` (array of int): the pieces of each whole text.
 
     The ids are those of the SentencePiece library without begin and end marks. A null
     or empty text has no ids. Repeated rows are all encoded; an empty table gives an
     empty result; other columns are not read. Each batch is worked on alone, without a
-    shuffle; the vocabulary is read from ``model_path`` by the driver only.
+    shuffle; the vocabulary is read from ``model_path`` by the driver only. Without
+    ``with_text`` the texts are not passed on. With ``verify`` the ids are decoded in
+    the same task, and ``round_trip`` tells whether that gives the text (null: empty).
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(load_pieces(model_path))
-    out = docs.mapInArrow(_encode(shared), f"id {kind}, text string, ids array<int>")
+    schema = f"id {kind}, " + "text string, " * with_text + "ids array<int>" + ", round_trip boolean" * verify
+    out = docs.mapInArrow(_encode(shared, with_text, verify), schema)
     return out.withColumnsRenamed({"id": id_col, "text": text_col})
 
 
+def piece_bodies(known: dict) -> list[bytes]:
+    """The bytes that each piece stands for."""
+    bodies = [p or b"" for p in known["pieces"]]
+    for byte, i in enumerate(known["byte_ids"]):
+        bodies[i] = bytes([byte])
+    return bodies
+
+
 def decode_batch(ids: pa.Array, bodies: list[bytes]) -> pa.Array:
     """Texts of lists of ids; ``bodies`` are the bytes of each piece."""
     sizes = np.array([len(b) for b in bodies], dtype=np.int64)
@@ -348,21 +389,12 @@ def decode_batch(ids: pa.Array, bodies: list[bytes]) -> pa.Array:
 
 def _decode(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        bodies = [p or b"" for p in known["pieces"]]
-        for byte, i in enumerate(known["byte_ids"]):
-            bodies[i] = bytes([byte])
+        bodies = piece_bodies(shared.value)
         for batch in batches:
-            sizes = np.cumsum(pc.list_value_length(batch.column(batch.num_columns - 1)).fill_null(0))
-            at = 0
-            while at < batch.num_rows:
-                before = sizes[at - 1] if at else 0
-                end = max(at + 1, int(np.searchsorted(sizes, before + DECODED_IDS, side="right")))
-                part = batch.slice(at, end - at)
-                texts = decode_batch(part.column(part.num_columns - 1).fill_null([]), bodies)
+            for part in slices(batch, pc.list_value_length(batch.columns[-1]), DECODED_IDS):
+                texts = decode_batch(part.columns[-1].fill_null([]), bodies)
                 names = [*part.schema.names, "decoded"]
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], names=names)
-                at = end
 
     return run
 

@@ -50,6 +50,7 @@ def test_given_documents(sf_dir):
 def test_forgetting_changes_nothing(monkeypatch):
     monkeypatch.setattr("ferrybook.llm.sentence_pieces.KNOWN_WORDS", 3)
     monkeypatch.setattr("ferrybook.llm.sentence_pieces.BATCH_BYTES", 40)
+    monkeypatch.setattr("ferrybook.llm.sentence_pieces.KNOWN_PAIRS", 3)
     assert ids(TEXTS) == [LIBRARY.encode(t or "") for t in TEXTS]
 
 
@@ -75,6 +76,11 @@ def test_operators(spark):
     for r in got:
         assert r.ids == LIBRARY.encode(r.text or "")
         assert r.decoded == (r.text or "").replace("▁", " ")
+    for r in encode_texts(documents(spark, rows), verify=True).collect():
+        assert r.ids == LIBRARY.encode(r.text or "")
+        assert r.round_trip == ("▁" not in (r.text or ""))
+    bare = encode_texts(documents(spark, rows), with_text=False)
+    assert bare.columns == ["doc_id", "ids"] and bare.count() == len(rows)
     assert decode_ids(encode_texts(documents(spark, []))).count() == 0
     nothing = spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")
     assert decode_ids(nothing).first().decoded == ""
