@@ -36,12 +36,16 @@ BITS = 4
 LONGS = 8
 #: Candidates go on down to this many standard deviations below the threshold.
 DEVIATIONS = 5.0
-#: Buckets of up to this many members are compared in full at once. In larger ones,
-#: each round compares ``GROWTH`` times as many members with all others.
+#: Buckets of up to this many members are compared in full at once, larger ones with
+#: their center.
 SMALL_BUCKET = 8
-GROWTH = 64
-#: So many most similar partners of a document are confirmed before all others.
-NEAREST = 4
+#: So many most similar partners of a document are confirmed first.
+NEAREST = 2
+#: Members of a bucket are compared in blocks of this weight on average; a member
+#: weighs its number of shingles and ``MEMBER`` more.
+BLOCK, MEMBER = 1 << 19, 512
+#: Shingles whose owners are multiplied at a time.
+COLUMNS = 4096
 
 
 def _multipliers() -> tuple[np.ndarray, np.ndarray]:
@@ -231,48 +235,107 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _link_up(
-    pairs: DataFrame, edges: DataFrame | None, texts: DataFrame, percent: int
-) -> tuple[DataFrame, DataFrame]:
-    """Edges and labels after the likely pairs (a, b, estimate) are confirmed.
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets with each other."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = times > 1
+    kept = common[code]
+    code, owner = (np.cumsum(common) - 1)[code[kept]], owner[kept]
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    out = np.zeros((len(sets), len(sets)), dtype=np.int64)
+    for first in range(0, int(common.sum()), COLUMNS):
+        low, high = np.searchsorted(code, (first, first + COLUMNS))
+        dense = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        dense[owner[low:high], code[low:high] - first] = 1
+        out += (dense @ dense.T).astype(np.int64)
+    return out
+
+
+def _compare_blocks(percent: int):
+    """Pairs (a, b) of labels of which two texts of the group are linked."""
+
+    def run(group: pa.Table) -> pa.Table:
+        found = shingle_sets(group.column("text"))
+        sets = [m[o[i] : o[i + 1]] for _, m, o in found for i in range(len(o) - 1)]
+        labels = pa.concat_arrays(group.column("label").chunks).dictionary_encode()
+        label = np.asarray(labels.indices, dtype=np.int64)
+        size = np.array([len(x) for x in sets], dtype=np.int64)
+        shared = _shared(sets)
+        both = size[:, None] + size - shared
+        linked = (shared > 0) & (100 * shared >= percent * both) & (label[:, None] < label)
+        one, two = np.nonzero(linked)
+        pairs = np.unique(label[one] * len(sets) + label[two])
+        ends = (pairs // len(sets), pairs % len(sets))
+        return pa.table({s: labels.dictionary.take(pa.array(e)) for s, e in zip("ab", ends)})
+
+    return run
+
+
+def _links_across(
+    members: DataFrame, labels: DataFrame, signatures: DataFrame, texts: DataFrame, percent: int
+) -> DataFrame:
+    """Links (a, b) between the labels of different components that share a bucket.
 
-    The most promising pairs of each document come first. In a family of copies they
-    join nearly all of it, and of the others only those across components are left.
+    A member takes part if its estimate with some member of another component does
+    not rule out a link. Those of a bucket are dealt into blocks by a hash; all texts
+    of two blocks meet in one task, which compares their full sets and returns pairs
+    of labels only. So no pair of texts is ever a row, and no task gets a whole
+    bucket that is large.
     """
-    ends = reduce(
-        DataFrame.unionByName, [pairs.select(F.col(x).alias("end"), "a", "b", "estimate") for x in "ab"]
+    named = members.select("key", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+    named = named.withColumn("label", F.coalesce("label", "rep"))
+    open_keys = (
+        named.groupBy("key")
+        .agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        .filter("low <> high")
+        .select("key")
+    )
+    named = cut_lineage(named.join(open_keys, "key").join(signatures, "rep"))
+    partners = named.select(
+        *(F.col(c).alias(f"other_{c}") for c in ("key", "label", "n_shingles", "signature"))
+    )
+    least, most = (f("n_shingles", "other_n_shingles") for f in (F.least, F.greatest))
+    active = named.join(
+        partners,
+        (F.col("key") == F.col("other_key"))
+        & (F.col("label") != F.col("other_label"))
+        & (100 * least >= percent * most)
+        & (estimated_similarity("signature", "other_signature") >= _least_estimate(percent)),
+        "left_semi",
+    )
+    active = cut_lineage(active.select("key", "rep", "label", "n_shingles"))
+    weight = F.sum(F.col("n_shingles") + MEMBER)
+    blocks = active.groupBy("key").agg(F.ceil(weight / BLOCK).cast("int").alias("blocks"))
+    dealt = active.join(blocks, "key").select(
+        "key",
+        "label",
+        F.col("rep").alias("id"),
+        F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
+    )
+    dealt = dealt.select(
+        "key", "label", "id", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")
+    )
+    kind = active.schema["rep"].dataType.simpleString()
+    return (
+        dealt.join(texts, "id")
+        .groupBy("key", "one", "two")
+        .applyInArrow(_compare_blocks(percent), f"a {kind}, b {kind}")
     )
-    best = Window.partitionBy("end").orderBy(F.desc("estimate"), "a", "b")
-    first = ends.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= NEAREST)
-    first = cut_lineage(first.select("a", "b").distinct())
-    found = _confirm(first, texts, percent)
-    edges = cut_lineage(found if edges is None else edges.unionByName(found))
-    labels = components(edges)
-    rest = pairs.select("a", "b").join(first, ["a", "b"], "left_anti")
-    for x in "ab":
-        named = labels.select(F.col("id").alias(x), F.col("label").alias(f"label_{x}"))
-        rest = rest.join(named, x, "left").withColumn(f"label_{x}", F.coalesce(f"label_{x}", x))
-    rest = cut_lineage(rest.filter("label_a <> label_b").select("a", "b"))
-    if rest.isEmpty():
-        return edges, labels
-    found = cut_lineage(_confirm(rest, texts, percent))
-    if found.isEmpty():
-        return edges, labels
-    edges = edges.unionByName(found)
-    return edges, components(edges)
 
 
 def _links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Component label of every representative that has a link: ``id``, ``label``.
 
     First the members of small buckets are compared with each other, and those of
-    larger ones with the bucket's center. After that only larger buckets with
-    members in different components are looked at, and there only pairs across
-    components: in each round more members, chosen by a hash, are compared with all
-    others, until all have been. No pair of candidates is left out unless its two ends
-    are already in one component.
+    larger ones with the bucket's center, by their estimates; the most promising pairs
+    of each document are confirmed. In a family of copies they join nearly all of it.
+    After that only buckets with members in different components are looked at, but
+    those in full. No pair of candidates is left out unless its two ends are already
+    in one component.
     """
-    signatures = reps.select("rep", "signature")
     banded = reps.select("rep", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
     members = cut_lineage(banded.join(shared.filter("members > 1"), "key"))
@@ -296,50 +359,18 @@ def _links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     pairs = in_small.select(F.col("rep").alias("a"), F.col("other").alias("b")).unionByName(
         stars.select(F.least("center", "rep").alias("a"), F.greatest("center", "rep").alias("b"))
     )
-    pairs = cut_lineage(_likely(pairs.distinct(), signatures, percent))
-    edges, labels = _link_up(pairs, None, texts, percent)
-
-    share = F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    done, upto = 0, GROWTH
-    large = members.filter(F.col("members") > SMALL_BUCKET).select(
-        "key", "rep", "members", (share * F.col("members")).alias("place")
+    likely = _likely(pairs.distinct(), reps.select("rep", "signature"), percent)
+    ends = likely.select(
+        F.inline(F.array(*(F.struct(F.col(x).alias("end"), "a", "b", "estimate") for x in "ab")))
     )
-    while True:
-        named = large.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn(
-            "label", F.coalesce("label", "rep")
-        )
-        open_keys = (
-            named.filter(F.col("members") > done)
-            .groupBy("key")
-            .agg(F.min("label").alias("low"), F.max("label").alias("high"))
-            .filter("low <> high")
-            .select("key")
-        )
-        named = named.join(open_keys, "key").filter(F.col("place") >= done)
-        named = cut_lineage(named.join(signatures, "rep"))
-        if named.isEmpty():
-            return labels
-        pivots = named.filter(F.col("place") < upto).select(
-            "key",
-            F.col("rep").alias("pivot"),
-            F.col("label").alias("pivot_label"),
-            F.col("signature").alias("pivot_signature"),
-        )
-        estimate = estimated_similarity("signature", "pivot_signature")
-        # The estimate is part of the join: pairs it rules out are never rows.
-        across = named.withColumnRenamed("key", "of_key").join(
-            pivots,
-            (F.col("of_key") == F.col("key"))
-            & (F.col("label") != F.col("pivot_label"))
-            & (estimate >= _least_estimate(percent)),
-        )
-        pairs = across.groupBy(
-            F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")
-        ).agg(F.max(estimate).alias("estimate"))
-        pairs = cut_lineage(pairs)
-        done, upto = upto, upto * GROWTH
-        if not pairs.isEmpty():
-            edges, labels = _link_up(pairs, edges, texts, percent)
+    best = Window.partitionBy("end").orderBy(F.desc("estimate"), "a", "b")
+    first = ends.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= NEAREST)
+    edges = cut_lineage(_confirm(first.select("a", "b").distinct(), texts, percent))
+    labels = components(edges)
+
+    signatures = reps.select("rep", "n_shingles", "signature")
+    found = cut_lineage(_links_across(members, labels, signatures, texts, percent))
+    return labels if found.isEmpty() else components(edges.unionByName(found))
 
 
 def near_duplicates(

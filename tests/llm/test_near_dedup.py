@@ -42,12 +42,23 @@ def test_equals_all_pairs(spark, percent):
     check(spark, corpus(), percent)
 
 
-def test_rounds_over_large_buckets_find_the_same(spark, monkeypatch):
+@pytest.mark.parametrize("weight", [3000, 9000])
+def test_blocks_of_large_buckets_find_the_same(spark, monkeypatch, weight):
     monkeypatch.setattr(near_dedup, "SMALL_BUCKET", 2)
-    monkeypatch.setattr(near_dedup, "GROWTH", 3)
+    monkeypatch.setattr(near_dedup, "NEAREST", 1)
+    monkeypatch.setattr(near_dedup, "BLOCK", weight)
     check(spark, corpus(), 85)
 
 
+def test_shared_counts():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 9000, n)).astype(np.uint64) for n in (1, 0, 3000, 9000, 40)]
+    expected = [[len(np.intersect1d(x, y)) for y in sets] for x in sets]
+    got = near_dedup._shared(sets)
+    np.fill_diagonal(got, 0)  # a set's own shingles that no other has are not counted
+    assert got.tolist() == [[0 if i == j else v for j, v in enumerate(r)] for i, r in enumerate(expected)]
+
+
 def test_messy_rows_and_empty_table(spark):
     check(spark, MESSY, 85)
     assert near_duplicates(documents(spark, [])).count() == 0
