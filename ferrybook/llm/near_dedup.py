@@ -43,9 +43,9 @@ SMALL_BUCKET = 8
 NEAREST = 2
 #: Members of a bucket are compared in blocks of this weight on average; a member
 #: weighs its number of shingles and ``MEMBER`` more.
-BLOCK, MEMBER = 1 << 19, 512
+BLOCK, MEMBER = 1 << 18, 512
 #: Shingles whose owners are multiplied at a time.
-COLUMNS = 4096
+COLUMNS = 2048
 
 
 def _multipliers() -> tuple[np.ndarray, np.ndarray]:
@@ -244,12 +244,12 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
     code, owner = (np.cumsum(common) - 1)[code[kept]], owner[kept]
     order = np.argsort(code, kind="stable")
     code, owner = code[order], owner[order]
-    out = np.zeros((len(sets), len(sets)), dtype=np.int64)
+    out = np.zeros((len(sets), len(sets)), dtype=np.int32)
     for first in range(0, int(common.sum()), COLUMNS):
         low, high = np.searchsorted(code, (first, first + COLUMNS))
         dense = np.zeros((len(sets), COLUMNS), dtype=np.float32)
         dense[owner[low:high], code[low:high] - first] = 1
-        out += (dense @ dense.T).astype(np.int64)
+        out += (dense @ dense.T).astype(np.int32)
     return out
 
 
@@ -262,11 +262,12 @@ def _compare_blocks(percent: int):
         labels = pa.concat_arrays(group.column("label").chunks).dictionary_encode()
         label = np.asarray(labels.indices, dtype=np.int64)
         size = np.array([len(x) for x in sets], dtype=np.int64)
-        shared = _shared(sets)
-        both = size[:, None] + size - shared
-        linked = (shared > 0) & (100 * shared >= percent * both) & (label[:, None] < label)
-        one, two = np.nonzero(linked)
-        pairs = np.unique(label[one] * len(sets) + label[two])
+        found = [np.zeros(0, dtype=np.int64)]
+        for i, row in enumerate(_shared(sets)):  # row by row, to keep memory low
+            shared = row.astype(np.int64)
+            linked = (shared > 0) & (100 * shared >= percent * (size[i] + size - shared))
+            found.append(label[i] * len(sets) + np.unique(label[linked & (label > label[i])]))
+        pairs = np.unique(np.concatenate(found))
         ends = (pairs // len(sets), pairs % len(sets))
         return pa.table({s: labels.dictionary.take(pa.array(e)) for s, e in zip("ab", ends)})
 
