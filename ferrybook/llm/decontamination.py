@@ -24,8 +24,6 @@ MASKS = ("1111010001", "11101011", "11001000111", "110010111")
 #: A reported overlap has this many tokens at least (or the whole of a shorter item),
 #: of which this share is equal.
 LEAST_TOKENS, LEAST_EQUAL = 13, 0.75
-#: Cost of a substituted token where an equal one counts 1.
-SUBSTITUTION = 2
 #: The filter of test hashes has three parts of 2**22 bits each.
 FILTER_BITS, FILTER_PARTS = 22, 3
 
@@ -135,24 +133,27 @@ def _document_hits(masks: Sequence[str], filled: np.ndarray):
 
 
 def best_overlap(document: np.ndarray, item: np.ndarray, offset: int) -> tuple[int, int, int]:
-    """The best run along an alignment: start in the document, tokens, equal tokens.
+    """The longest run along an alignment: start in the document, tokens, equal tokens.
 
-    The whole overlap, from its first to its last equal token, if enough of it is
-    equal. Else equal tokens count 1, substituted ones cost ``SUBSTITUTION``, and the
-    run with the largest sum wins.
+    It begins and ends with an equal token, and at least ``LEAST_EQUAL`` of its tokens
+    are equal; of equally long ones that with most equal tokens, then the first. An item
+    below ``LEAST_TOKENS`` that lies in the document as a whole may end in substitutions.
     """
     start, end = max(0, offset), min(len(document), offset + len(item))
     equal = document[start:end] == item[start - offset : end - offset]
     places = np.flatnonzero(equal)
-    if len(places):
-        first, tokens = int(places[0]), int(places[-1] - places[0]) + 1
-        if len(places) >= LEAST_EQUAL * tokens:
-            return start + first, tokens, len(places)
-    sums = np.append(0, np.cumsum(np.where(equal, 1, -SUBSTITUTION)))
-    gain = sums - np.minimum.accumulate(sums)
-    stop = int(gain.argmax())
-    begin = int(sums[: stop + 1].argmin())
-    return start + begin, stop - begin, int(equal[begin:stop].sum())
+    if not len(places):
+        return start, 0, 0
+    if end - start == len(item) < LEAST_TOKENS and len(places) >= LEAST_EQUAL * len(item):
+        return start, len(item), len(places)
+    # From the a-th to the b-th equal token there are b - a + 1 equal ones, so the run is
+    # good if its low[a] is at most its high[b].
+    at = np.arange(len(places))
+    low, high = at - LEAST_EQUAL * places, at + 1 - LEAST_EQUAL * (places + 1)
+    first = np.searchsorted(-np.minimum.accumulate(low), -high)
+    tokens, n_equal = places - places[first] + 1, at - first + 1
+    best = np.lexsort((at, -n_equal, -tokens))[0]
+    return start + int(places[first[best]]), int(tokens[best]), int(n_equal[best])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,13 +163,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
             document = np.asarray(batch.column(3)[i].values, dtype=np.int64)
             item = np.asarray(batch.column(4)[i].values, dtype=np.int64)
-            best = max(
-                (best_overlap(document, item, o) for o in batch.column(5)[i].as_py()),
-                key=lambda x: (x[2], -x[1], -x[0]),
-            )
-            if best[1] >= min(LEAST_TOKENS, len(item)) and best[2] >= LEAST_EQUAL * best[1]:
+            runs = [best_overlap(document, item, o) for o in batch.column(5)[i].as_py()]
+            runs = [x for x in runs if x[1] >= min(LEAST_TOKENS, len(item))]
+            if runs:
                 keep.append(i)
-                found.append(best)
+                found.append(max(runs, key=lambda x: (x[2], -x[1], -x[0])))
         where = pa.array(keep, pa.int64())
         yield pa.RecordBatch.from_arrays(
             [batch.column(c).take(where) for c in range(3)]

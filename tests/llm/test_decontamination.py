@@ -76,3 +76,29 @@ def test_best_overlap(offset):
     document[offset + 10] = 7
     start, tokens, equal = best_overlap(document, item, offset)
     assert (start, tokens, equal) == (max(0, offset), 20 + min(0, offset), 19 + min(0, offset))
+
+
+@pytest.mark.parametrize("share", [0.1, 0.2, 0.25, 0.3])
+def test_best_overlap_is_the_longest_good_run(share):
+    rng = np.random.default_rng(int(share * 100))
+    for n in [*range(13, 60), 300]:
+        item = np.arange(n)
+        document = np.where(rng.random(n) < share, -1, item)
+        ok = document == item
+        runs = [
+            (b - a, ok[a:b].sum(), -a)
+            for a in range(n)
+            for b in range(a + 1, n + 1)
+            if ok[a] and ok[b - 1] and ok[a:b].sum() >= 0.75 * (b - a)
+        ]
+        tokens, equal, start = max(runs)
+        assert best_overlap(document, item, 0) == (-start, tokens, equal)
+
+
+@pytest.mark.parametrize("copies", [4, 5])
+def test_good_runs_with_wide_gaps_between_them_are_found(spark, copies):
+    item = prose(77, 29 * copies - 9, words=3000).split()
+    text = " ".join(f"gap{i}" if i % 29 >= 20 else w for i, w in enumerate(item))
+    (row,) = contaminated(documents(spark, [(1, text)]), items(spark, {5: " ".join(item)})).collect()
+    assert (row.doc_id, row.item_id) == (1, 5) and row.n_tokens >= 20
+    assert row.n_equal >= 0.75 * row.n_tokens
