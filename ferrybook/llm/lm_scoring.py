@@ -15,6 +15,7 @@ and noise is exact rather than sampled.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
@@ -27,10 +28,10 @@ from pyspark.sql import functions as F
 from ferrybook.llm.common import write_stage
 from ferrybook.llm.words import Chunk, as_long, chunks, segment_of, space_table, split_words
 
-CLASS_BITS = 6
+CLASS_BITS = 7
 CLASSES = 1 << CLASS_BITS
 #: Class 0 is the end; then come single words, then endings, then all other words.
-SINGLE, ENDINGS = 31, 31
+SINGLE, ENDINGS = 63, 63
 FIRST_ENDING = 1 + SINGLE
 OTHER = CLASSES - 1
 #: Words whose counts every task has at hand: the most frequent ones, 4 MB. The counts
@@ -41,6 +42,8 @@ END = np.uint64(0)
 #: Distinct words that a counting task holds before it passes them on.
 HELD_WORDS = 1 << 20
 DIMENSIONS, NOISE, STEPS, RATE = 32, 32.0, 240, 0.05
+#: Training takes the contexts of so many first classes at a time.
+BLOCK = 8
 
 
 def endings(words) -> np.ndarray:
@@ -127,15 +130,26 @@ def _count_triples(classes: Classes):
     return run
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows of a task as one, compressed: the driver gets some MB instead of 2**21 rows."""
+    parts = [[batch.column(c).to_numpy(zero_copy_only=False) for c in range(2)] for batch in batches]
+    if parts:
+        code, n = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(code)
+        data = code[order].astype(np.int32), n[order].astype(np.int64)
+        columns = [pa.array([zlib.compress(x.tobytes(), 1)], pa.binary()) for x in data]
+        yield pa.RecordBatch.from_arrays(columns, names=["codes", "counts"])
+
+
 def train(counts: np.ndarray, valid: np.ndarray, steps: int = STEPS) -> np.ndarray:
     """Normalised log10 probabilities [context, class] from triple counts.
 
     The objective is that of noise-contrastive estimation with the smoothed class
     frequencies as noise. Data and noise are averaged over exactly, as all contexts
-    and classes fit one matrix product.
+    and classes fit one matrix product. It is formed in blocks of contexts.
     """
-    weights = counts.reshape(CLASSES * CLASSES, CLASSES) / max(counts.sum(), 1)
-    weights = weights.astype(np.float32)
+    weights = counts.reshape(CLASSES * CLASSES, CLASSES).astype(np.float32)
+    weights /= np.float32(max(counts.sum(), 1))
     of_context = weights.sum(axis=1, keepdims=True)
     noise = weights.sum(axis=0) + 1e-6
     noise = noise / noise.sum()
@@ -151,25 +165,33 @@ def train(counts: np.ndarray, valid: np.ndarray, steps: int = STEPS) -> np.ndarr
         "bias": np.log(noise).astype(np.float32),
     }
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in params.items()}
-    grid = (CLASSES, CLASSES, DIMENSIONS)
+    log_noise, noise_weight = log_noise.astype(np.float32), (NOISE * noise).astype(np.float32)
 
-    def scores() -> tuple[np.ndarray, np.ndarray]:
+    def blocks() -> Iterator[tuple[int, slice, np.ndarray, np.ndarray]]:
+        """The contexts by first classes: first of these, rows, predicted vectors, scores."""
         two, one = params["context"] @ params["two"], params["context"] @ params["one"]
-        predicted = (two[:, None, :] + one[None, :, :]).reshape(-1, DIMENSIONS)
-        return predicted, predicted @ params["output"].T + params["bias"]
+        for a in range(0, CLASSES, BLOCK):
+            predicted = (two[a : a + BLOCK, None, :] + one[None, :, :]).reshape(-1, DIMENSIONS)
+            score = predicted @ params["output"].T + params["bias"]
+            yield a, slice(a * CLASSES, (a + BLOCK) * CLASSES), predicted, score
 
     for step in range(1, steps + 1 if counts.any() else 1):
-        predicted, score = scores()
-        from_data = 1 / (1 + np.exp(np.clip(log_noise.astype(np.float32) - score, -30, 30)))
-        pull = weights * (1 - from_data) - of_context * (NOISE * noise).astype(np.float32) * from_data
-        back = (pull @ params["output"]).reshape(grid)
-        to_two, to_one = back.sum(axis=1), back.sum(axis=0)
+        to_two, to_one = (np.zeros_like(params["context"]) for _ in range(2))
+        to_output, to_bias = np.zeros_like(params["output"]), np.zeros_like(params["bias"])
+        for a, rows, predicted, score in blocks():
+            from_data = 1 / (1 + np.exp(np.clip(log_noise - score, -30, 30)))
+            pull = weights[rows] * (1 - from_data) - of_context[rows] * noise_weight * from_data
+            back = (pull @ params["output"]).reshape(-1, CLASSES, DIMENSIONS)
+            to_two[a : a + BLOCK] = back.sum(axis=1)
+            to_one += back.sum(axis=0)
+            to_output += pull.T @ predicted
+            to_bias += pull.sum(axis=0)
         gradients = {
             "context": to_two @ params["two"].T + to_one @ params["one"].T,
             "two": params["context"].T @ to_two,
             "one": params["context"].T @ to_one,
-            "output": pull.T @ predicted,
-            "bias": pull.sum(axis=0),
+            "output": to_output,
+            "bias": to_bias,
         }
         rate = RATE * min(1.0, 2 * (1 - step / (steps + 1)))
         for name, gradient in gradients.items():  # Adam
@@ -178,10 +200,13 @@ def train(counts: np.ndarray, valid: np.ndarray, steps: int = STEPS) -> np.ndarr
             square += 0.01 * (gradient * gradient - square)
             fixed = mean / (1 - 0.9**step) / (np.sqrt(square / (1 - 0.99**step)) + 1e-9)
             params[name] = params[name] + np.float32(rate) * fixed
-    score = np.where(valid[None, :], scores()[1], -np.inf)
-    score -= score.max(axis=1, keepdims=True)
-    score -= np.log(np.exp(score).sum(axis=1, keepdims=True))
-    return (score / np.log(10)).astype(np.float32)
+    table = np.empty_like(weights)
+    for _, rows, _, score in blocks():
+        score = np.where(valid[None, :], score, -np.inf)
+        score -= score.max(axis=1, keepdims=True)
+        score -= np.log(np.exp(score).sum(axis=1, keepdims=True))
+        table[rows] = score / np.log(10)
+    return table
 
 
 @dataclass
@@ -229,9 +254,11 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     valid[1 + len(single) : FIRST_ENDING] = False
 
     triples = docs.select("text").mapInArrow(_count_triples(classes), "code long, n long")
-    triples = triples.groupBy("code").agg(F.sum("n").alias("n")).toPandas()  # 2**18 rows at most
+    triples = triples.groupBy("code").agg(F.sum("n").alias("n"))  # 2**21 rows at most
     table = np.zeros(CLASSES**3, dtype=np.int64)
-    table[triples["code"].to_numpy(np.int64)] = triples["n"].to_numpy(np.int64)
+    for codes, n in triples.mapInArrow(_packed, "codes binary, counts binary").collect():
+        codes, n = zlib.decompress(codes), zlib.decompress(n)
+        table[np.frombuffer(codes, np.int32)] = np.frombuffer(n, np.int64)
     hot_words = hot["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hot_words)
     model = Model(

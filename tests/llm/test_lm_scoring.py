@@ -85,3 +85,10 @@ def test_empty_table_and_no_training_rows(spark):
     only = next(i for i in range(100) if held(i))
     (row,) = score_texts(documents(spark, [(only, "a b")])).collect()
     assert (row.train_tokens, row.n_known, row.base_score) == (0, 0, 0.0) and row.score < 0
+
+
+def test_sixty_words_of_one_ending_are_told_apart_by_context(spark):
+    ring = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}ing" for i in range(60)]
+    rows = [(i, " ".join(ring[(i + j) % 60] for j in range(240))) for i in range(60)]
+    out = [r for r in score_texts(documents(spark, rows)).collect() if r.held_out]
+    assert out and all(r.score > -0.3 * r.n_tokens for r in out)
