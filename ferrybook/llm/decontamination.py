@@ -18,9 +18,13 @@ from pyspark.sql import functions as F
 from ferrybook.llm.common import cut_lineage
 from ferrybook.llm.words import as_long, chunks, mix, powers, punctuation_table, split_words
 
-#: Four masks of six tokens each. At least one of them hits any overlap of 15 tokens
-#: with up to three substitutions, wherever these are (tests/llm checks all cases).
-MASKS = ("1111010001", "11101011", "11001000111", "110010111")
+#: Masks of six tokens each. At least one of them hits any run of 13 to 25 tokens of which
+#: three quarters are equal, wherever these are (tests/llm checks all cases); a longer run
+#: has such a one in it.
+MASKS = (
+    "1111010001", "11101011", "11001000111", "110010111",
+    "101000011011", "1100001000111", "111111", "1110111",
+)
 #: A reported overlap has this many tokens at least (or the whole of a shorter item),
 #: of which this share is equal.
 LEAST_TOKENS, LEAST_EQUAL = 13, 0.75
@@ -48,7 +52,9 @@ def _filter_slots(hashes: np.ndarray) -> list[np.ndarray]:
     return [(hashes >> np.uint64(21 * i)) & mask for i in range(FILTER_PARTS)]
 
 
-def _item_seeds(masks: Sequence[str]):
+def _item_seeds(masks: Sequence[str], whole: Sequence[str]):
+    """Masks of ``whole`` are laid over items of their own length only."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         separators = punctuation_table()
         for batch in batches:
@@ -57,7 +63,9 @@ def _item_seeds(masks: Sequence[str]):
                 rows, hashes, places = [], [], []
                 for i in range(len(chunk)):
                     tokens = words.hashes[words.offsets[i] : words.offsets[i + 1]]
-                    for found in seed_hashes(tokens, masks):
+                    for mask, found in zip((*masks, *whole), seed_hashes(tokens, (*masks, *whole))):
+                        if mask in whole and len(tokens) != len(mask):
+                            continue
                         rows.append(np.full(len(found), chunk.first + i))
                         hashes.append(found)
                         places.append(np.arange(len(found)))
@@ -212,9 +220,11 @@ def contaminated(
     not matter. An overlap may hold substituted tokens but no inserted ones; beyond an
     insertion it is two overlaps.
 
-    Null and empty texts, and items with fewer tokens than the shortest mask, overlap
-    with nothing. Repeated rows give one row. Documents without an id are told apart
-    by their texts. Empty tables give an empty result; other columns are not read.
+    Null and empty texts overlap with nothing. Items with fewer tokens than the shortest
+    mask are looked up as a whole, so they are found verbatim only; other items below
+    ``LEAST_TOKENS`` are found with substitutions where a mask fits between these. Repeated
+    rows give one row. Documents without an id are told apart by their texts. Empty tables
+    give an empty result; other columns are not read.
 
     Documents go through a filter of fixed size before anything is shuffled: only
     documents with a hash that may be one of the test hashes are sent on, with their
@@ -228,10 +238,14 @@ def contaminated(
         docs.schema["id"].dataType.simpleString(),
         items.schema["item"].dataType.simpleString(),
     )
-    seeds = items.mapInArrow(_item_seeds(masks), f"item {item_kind}, seed long, item_at long")
+    item_tokens = items.mapInArrow(_tokens, f"item {item_kind}, item_tokens array<long>")
+    short = item_tokens.select(F.size("item_tokens").alias("n")).distinct()
+    short = short.filter(F.col("n").between(1, min(map(len, masks)) - 1)).collect()  # five lengths at most
+    whole = tuple("1" * n for n in sorted(r.n for r in short))
+    seeds = items.mapInArrow(_item_seeds(masks, whole), f"item {item_kind}, seed long, item_at long")
     seeds = cut_lineage(seeds.distinct())
     hits = docs.mapInArrow(
-        _document_hits(masks, _test_filter(seeds)),
+        _document_hits((*masks, *whole), _test_filter(seeds)),
         f"id {id_kind}, text_hash long, tokens array<long>, hits array<struct<seed:long,at:long>>",
     )
     hits = cut_lineage(hits)
@@ -242,7 +256,6 @@ def contaminated(
         .groupBy("id", "text_hash", "item")
         .agg(F.collect_set("offset").alias("offsets"))
     )
-    item_tokens = items.mapInArrow(_tokens, f"item {item_kind}, item_tokens array<long>")
     documents = hits.select(
         F.col("id").alias("doc"), F.col("text_hash").alias("doc_hash"), "tokens"
     )

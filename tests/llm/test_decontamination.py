@@ -102,3 +102,21 @@ def test_good_runs_with_wide_gaps_between_them_are_found(spark, copies):
     (row,) = contaminated(documents(spark, [(1, text)]), items(spark, {5: " ".join(item)})).collect()
     assert (row.doc_id, row.item_id) == (1, 5) and row.n_tokens >= 20
     assert row.n_equal >= 0.75 * row.n_tokens
+
+
+@pytest.mark.parametrize("n", range(13, 22))
+def test_masks_hit_all_runs_of_three_quarters_equal_tokens(n):
+    wrong = np.array([sum(1 << i for i in c) for c in itertools.combinations(range(n), n // 4)])
+    for mask in MASKS:
+        for at in range(n - len(mask) + 1):
+            wrong = wrong[wrong & sum(1 << (at + i) for i, c in enumerate(mask) if c == "1") != 0]
+    assert not len(wrong)
+
+
+def test_short_items_and_sparse_overlaps_are_found(spark):
+    bare = {80: "alpha beta gamma", 81: "only", 82: "six of these tokens are here"}
+    long = prose(990, 13, words=3000).split()
+    changed = " ".join("xx" if i in (1, 3, 5) else w for i, w in enumerate(long))
+    rows = [(i, f"before {text} after") for i, text in bare.items()] + [(83, changed), (84, "beta gamma alpha")]
+    found = contaminated(documents(spark, rows), items(spark, {**bare, 83: " ".join(long)})).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(80, 80), (81, 81), (82, 82), (83, 83)]
