@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ferrybook.llm.byte_pairs import decode_bytes, encode_bytes
 from ferrybook.llm.common import table
 from ferrybook.llm.decontamination import contaminated
 from ferrybook.llm.html_extraction import extract_main_text
@@ -89,6 +90,16 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op12_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = decode_bytes(encode_bytes(table(spark, sf_dir, "documents")))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_benchmark_decontamination": op1_benchmark_decontamination,
@@ -101,6 +112,7 @@ def queries() -> dict[str, Query]:
         "op8_sentencepiece": op8_sentencepiece,
         "op9_suffix_array_dedup": op9_suffix_array_dedup,
         "op10_url_filters": op10_url_filters,
+        "op12_byte_pairs": op12_byte_pairs,
     }
 
 
