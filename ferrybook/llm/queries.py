@@ -19,6 +19,7 @@ from ferrybook.llm.repeat_dedup import remove_repeats
 from ferrybook.llm.sentence_pieces import encode_texts
 from ferrybook.llm.sharding import shard_documents
 from ferrybook.llm.url_filters import RULES, judge_urls, rule_table
+from ferrybook.llm.whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -100,6 +101,10 @@ def op12_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_benchmark_decontamination": op1_benchmark_decontamination,
@@ -113,6 +118,7 @@ def queries() -> dict[str, Query]:
         "op9_suffix_array_dedup": op9_suffix_array_dedup,
         "op10_url_filters": op10_url_filters,
         "op12_byte_pairs": op12_byte_pairs,
+        "op13_embedding_whitening": op13_embedding_whitening,
     }
 
 
