@@ -14,6 +14,7 @@ from ferrybook.llm.html_extraction import extract_main_text
 from ferrybook.llm.license_scans import scan_licenses
 from ferrybook.llm.lm_scoring import score_texts
 from ferrybook.llm.near_dedup import near_duplicates
+from ferrybook.llm.prefix_trie import ordered_turns, prefix_trie, rebuilt_steps
 from ferrybook.llm.quality_rules import rate_quality
 from ferrybook.llm.repeat_dedup import remove_repeats
 from ferrybook.llm.sentence_pieces import encode_texts
@@ -91,6 +92,11 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of rebuilt conversations, which share turns with their base."""
+    return prefix_trie(rebuilt_steps(ordered_turns(table(spark, sf_dir, "conversations"))))
+
+
 def op12_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = decode_bytes(encode_bytes(table(spark, sf_dir, "documents")))
     return coded.select(
@@ -117,6 +123,7 @@ def queries() -> dict[str, Query]:
         "op8_sentencepiece": op8_sentencepiece,
         "op9_suffix_array_dedup": op9_suffix_array_dedup,
         "op10_url_filters": op10_url_filters,
+        "op11_conversation_trie": op11_conversation_trie,
         "op12_byte_pairs": op12_byte_pairs,
         "op13_embedding_whitening": op13_embedding_whitening,
     }

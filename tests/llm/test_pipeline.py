@@ -77,7 +77,7 @@ def test_stages_return_the_columns_of_documents(spark, small):
 
 def test_one_query_for_each_operator():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries() if re.match(r"op\d+_", n))
-    assert numbers == list(range(1, 11)) and "pipeline" in queries()
+    assert numbers == list(range(1, 14)) and "pipeline" in queries()
     assert set(oracle_sql()) <= set(queries())
 
 
