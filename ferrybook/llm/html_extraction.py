@@ -1,9 +1,13 @@
 """Main text of web pages, by a two-pass rule over text blocks.
 
-The first pass looks at each block alone: where it stands, how much of it is link
-text, how long it is and how many of its words are stop words. It decides the clear
-cases. In the second pass a block that was left open, mostly a short one, takes the
-label of the nearest decided block.
+The first pass looks at each block alone: how much of it is link text, how long it is
+and how many of its words are stop words, and whether it stands in a part of the page
+that is never text. It decides the clear cases. In the second pass a block that was
+left open, mostly a short one, takes the label of the nearest decided block.
+
+Names of elements and classes only help: what is marked as surroundings is bad, unless
+it is a container that holds the article, and an article counts as one only if the
+first pass finds good text in it or none elsewhere.
 """
 
 from __future__ import annotations
@@ -11,6 +15,8 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,11 +26,13 @@ from pyspark.sql import functions as F
 LONG_BLOCK, STOP_SHARE = 80, 0.15
 #: A block with a larger share of link text is bad on its own.
 LINK_SHARE = 0.5
+#: Words of a text that is written without blanks are longer than this on average.
+LONG_WORDS = 12
 
 RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp")
 # Elements whose content is never part of an article.
 OUTSIDE = frozenset(
-    "head nav footer aside form menu dialog select button svg math object audio video canvas".split()
+    "head nav footer aside menu dialog select button svg math object audio video canvas".split()
 )
 BLOCKS = frozenset(
     """address article aside blockquote body caption center dd details dialog div dl dt fieldset
@@ -32,15 +40,17 @@ BLOCKS = frozenset(
     option p pre section summary table tbody td tfoot th thead tr ul""".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-ARTICLE = frozenset(("article", "main"))
 # Words of class and id attributes, and roles, that mark what surrounds an article.
-MARKS = re.compile(
-    r"""(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|respond|cookies?|consent|disclaimer
-    |footer|header|masthead|menu|nav|navbar|navigation|newsletter|notices?|pager|pagination|popup|modal
-    |promo\w*|related|search|share|sharing|sidebar|skip|social|sponsor\w*|subscribe|toolbar|widget
-    |complementary|contentinfo)(?:$|[\s_-])""",
-    re.I | re.X,
+MARKS = frozenset(
+    """ad ads advert advertisement advertising banner breadcrumb breadcrumbs cookie cookies consent
+    disclaimer footer header masthead menu nav navbar navigation newsletter notice notices pager
+    pagination popup modal promo promotion related search share sharing sidebar skip social sponsor
+    sponsored subscribe toolbar widget complementary contentinfo""".split()
 )
+COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
+# With these in front, or behind, a name tells of a state and marks nothing.
+STATES = frozenset("has no not with without is hide show toggle".split())
+COMMENT_STATES = frozenset("open closed enabled disabled on off allowed".split())
 ATTRIBUTE = re.compile(
     r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]*)))?""", re.I
 )
@@ -50,44 +60,72 @@ TOKEN = re.compile(
     [^\s/<>]*+)([^<>]*+)>|<[!?/][^<>]*+>""",
     re.S | re.X | re.I,
 )
-# Common function words of English, German, French and Spanish.
+# Common function words of four and more letters; shorter ones are known by their length.
 STOP_WORDS = frozenset(
-    """a an and are as at be by for from had has have he her his i in is it its not of on or she
-    that the their they this to was we were which will with you
-    aber als am auch auf aus bei das dem den der des die ein eine einen er es für ich im ist mit
-    nicht noch sich sie sind so und von war wie wir zu zum zur
-    au aux avec ce ces dans de des du elle en est et il la le les leur mais ne nous ou par pas plus
-    pour que qui sa se son sur un une vous
-    al como con cuando del el ella entre era esta este la las lo los más no o para pero por que se
-    sin sobre su sus una y ya""".split()
+    """from have that their they this were which will with
+    aber auch dass eine einen einer eines nicht noch oder sich sind wird
+    avec cette dans elle leur mais nous pour sont vous
+    como cuando entre esta este para pero porque sobre
+    anche della delle nella sono come questo
+    maar voor niet zijn worden""".split()
 )
+# Containers that hold an article are lifted; these kinds are not.
+LIFTED, STRUCTURE, COMMENT = "lifted", "structure", "comment"
+
+
+@dataclass
+class Container:
+    """An element that is not text by its name or class, with what it holds."""
+
+    kind: str
+    above: int  # the container around it, or -1
+    blocks: tuple[int, int]
+    articles: int
+    mains: int
+
 
+@dataclass
+class Block:
+    text: str
+    links: int  # characters inside links
+    container: int
+    in_article: bool
+    in_main: bool
 
-def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
-    """Text blocks as (text, characters inside links, in article, in what surrounds it)."""
-    out: list[tuple[str, int, bool, bool]] = []
+
+def parse(page: str) -> tuple[list[Block], list[Container], int, int]:
+    """Text blocks, containers, and the counts of articles and main elements."""
+    out: list[Block] = []
+    containers: list[Container] = []
     parts: list[str] = []
     linked: list[bool] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, opens an article, opens its surroundings
+    stack: list[tuple[str, str, int]] = []  # name, article or main, container
     open_names: dict[str, int] = {}
-    articles = outside = links = 0
+    holds = {"article": 0, "main": 0, "": 0}  # open
+    seen = {"article": 0, "main": 0, "": 0}  # so far
+    links, inside = 0, -1
 
     def flush() -> None:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 chars = sum(len(p.strip()) for p, a in zip(parts, linked) if a)
-                out.append((text, chars, articles > 0, outside > 0))
+                out.append(Block(text, chars, inside, holds["article"] > 0, holds["main"] > 0))
             parts.clear()
             linked.clear()
 
     def pop() -> None:
-        nonlocal articles, outside, links
-        name, is_article, is_outside = stack.pop()
+        nonlocal links, inside
+        name, kind, container = stack.pop()
         open_names[name] -= 1
-        articles -= is_article
-        outside -= is_outside
+        holds[kind] -= 1
         links -= name == "a"
+        if container >= 0:
+            flush()  # also where the element is no block
+            c = containers[container]
+            c.blocks = c.blocks[0], len(out)
+            c.articles, c.mains = seen["article"] - c.articles, seen["main"] - c.mains
+            inside = c.above
 
     at = 0
     for token in TOKEN.finditer(page):
@@ -119,41 +157,96 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
         attributes = token[4] or token[7] or ""
         if attributes.rstrip().endswith("/") and name not in BLOCKS:
             continue
-        is_article = name in ARTICLE
-        is_outside = name in OUTSIDE or (name == "header" and not articles)
-        if attributes and not is_article and not is_outside:
-            is_outside = _marked(attributes)
-        stack.append((name, is_article, is_outside))
+        marked = mark(name, attributes, holds["article"] + holds["main"] > 0)
+        kind = name if name in ("article", "main") and not marked else ""
+        # What stands in a part that is never text is no article of the page.
+        if kind and inside >= 0 and containers[inside].kind != LIFTED:
+            kind = ""
+        container = -1
+        if marked:
+            flush()
+            container = len(containers)
+            fixed = inside >= 0 and containers[inside].kind
+            of = fixed if fixed and fixed != LIFTED else marked
+            containers.append(Container(of, inside, (len(out), 0), seen["article"], seen["main"]))
+            inside = container
+        stack.append((name, kind, container))
         open_names[name] = open_names.get(name, 0) + 1
-        articles += is_article
-        outside += is_outside
+        holds[kind] += 1
+        seen[kind] += 1
         links += name == "a"
     if at < len(page):
         parts.append(page[at:])
         linked.append(links > 0)
     flush()
-    return out
+    while stack:
+        pop()
+    return out, containers, seen["article"], seen["main"]
 
 
-def _marked(attributes: str) -> bool:
-    for name, *values in ATTRIBUTE.findall(attributes):
-        value, name = "".join(values), name.lower()
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
-        if MARKS.search(value):
-            return True
-    return False
+def mark(name: str, attributes: str, in_article: bool) -> str:
+    """What kind of container an element is; empty if it is none."""
+    if name in ("html", "body"):
+        return ""
+    if name in OUTSIDE or (name == "header" and not in_article):
+        return STRUCTURE
+    found = LIFTED if name == "form" else ""
+    for attribute, *values in ATTRIBUTE.findall(attributes):
+        value, attribute = "".join(values).lower(), attribute.lower()
+        if attribute == "hidden" or (attribute == "aria-hidden" and value == "true"):
+            return STRUCTURE
+        if attribute == "aria-hidden":
+            continue
+        for token in value.split():
+            words = re.split("[-_]+", token.strip("-_"))
+            if words[0] in COMMENTS or (words[0] in ("li", "div") and words[1:2] == ["comment"]):
+                if not COMMENT_STATES & {*words[1:]}:
+                    return COMMENT
+            elif name not in ("article", "main") and words[0] not in STATES and MARKS & {words[0], words[-1]}:
+                found = LIFTED
+    return found
 
 
-def first_pass(text: str, link_chars: int, in_article: bool, outside: bool) -> bool | None:
+def outside(blocks: list[Block], containers: list[Container], articles: int, mains: int) -> list[bool]:
+    """Which blocks stand in what surrounds the text.
+
+    A form, or an element with a class that marks surroundings, is lifted if it holds
+    all articles of the page (all main elements, if there is no article). On a page with
+    neither it is lifted if it holds more than half of all characters.
+    """
+    ends = [0, *accumulate(len(b.text) for b in blocks)]
+    closed: list[bool] = []
+    for c in containers:  # outer ones come first
+        if c.kind != LIFTED:
+            counts = True
+        elif articles:
+            counts = c.articles < articles
+        elif mains:
+            counts = c.mains < mains
+        else:
+            counts = 2 * (ends[c.blocks[1]] - ends[c.blocks[0]]) <= ends[-1]
+        closed.append(counts or (c.above >= 0 and closed[c.above]))
+    return [b.container >= 0 and closed[b.container] for b in blocks]
+
+
+def stop_share(text: str) -> float:
+    """Share of function words: known ones, and lower-case words of up to three letters.
+
+    A text without blanks between its words has none that could be counted; it counts
+    as full of them, so length and links decide.
+    """
+    names = [w.strip(".,;:!?\"'()*#$%&|") for w in text.split()]
+    if sum(map(len, names)) > LONG_WORDS * len(names) and sum(c > "\u0e00" for c in text) > len(text) // 2:
+        return 1.0
+    return sum((len(w) < 4 and w.isalpha() and w.islower()) or w.lower() in STOP_WORDS for w in names) / len(names)
+
+
+def first_pass(block: Block, in_article: bool, out: bool) -> bool | None:
     """True for a good block, False for a bad one, None where it is not clear."""
-    if outside or link_chars > LINK_SHARE * len(text) and not (in_article and len(text) > LONG_BLOCK):
+    size = len(block.text)
+    if out or block.links > LINK_SHARE * size and not (in_article and size > LONG_BLOCK):
         return False
-    if len(text) < LONG_BLOCK:
-        return None
-    names = [w.strip(".,;:!?\"'()*#$%&|").lower() for w in text.split()]
-    stops = sum(w in STOP_WORDS for w in names)
-    if stops >= STOP_SHARE * len(names):
+    if size >= LONG_BLOCK and stop_share(block.text) >= STOP_SHARE:
         return True
     return None
 
@@ -188,11 +281,24 @@ def second_pass(found: list[bool | None], in_article: list[bool]) -> list[bool]:
     return labels
 
 
+def labels(blocks: list[Block], containers: list[Container], articles: int, mains: int) -> list[bool]:
+    """Which blocks are text, after both passes."""
+    out = outside(blocks, containers, articles, mains)
+    in_article = [b.in_article if articles else b.in_main for b in blocks]
+    found = [first_pass(*x) for x in zip(blocks, in_article, out)]
+    inside = any(good and a for good, a in zip(found, in_article))
+    if not inside and any(found):  # no article, or only short ones beside a longer text
+        in_article = [False] * len(blocks)
+        found = [first_pass(*x) for x in zip(blocks, in_article, out)]
+    elif any(in_article):
+        found = [good if a else False for good, a in zip(found, in_article)]
+    return second_pass(found, in_article)
+
+
 def main_text(page: str | None) -> str:
     """The page's main text; empty for null, for an empty page or one without any."""
-    found = blocks(page or "")
-    labels = second_pass([first_pass(*b) for b in found], [b[2] for b in found])
-    return " ".join(b[0] for b, good in zip(found, labels) if good)
+    blocks, *others = parse(page or "")
+    return " ".join(b.text for b, good in zip(blocks, labels(blocks, *others)) if good)
 
 
 def extract_main_text(
@@ -202,8 +308,8 @@ def extract_main_text(
 
     The whole page is read; character references are decoded, white space inside a
     block becomes one space, and blocks are joined in page order by one space. Tags
-    need not be closed. A null page, an empty one and one without an article have an
-    empty text. Repeated rows are all kept; an empty table gives an empty result;
+    need not be closed. A null page, an empty one and one without any text that stands
+    out have an empty text. Repeated rows are all kept; an empty table gives an empty result;
     other columns are not read. Each page is worked on alone, without a shuffle.
     """
     pages = pages.select(
