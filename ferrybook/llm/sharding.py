@@ -11,7 +11,7 @@ from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrybook.llm.common import cut_lineage
@@ -40,12 +40,16 @@ class Cuts:
     def __init__(self, groups: DataFrame, shards: int):
         self.groups, self.shards = groups, shards
         bits = KEY_BITS - HISTOGRAM_BITS
+        self.coarse = bits  # bits of the ranges that are looked at more closely
         self.ranges = self._histogram(None, bits)
         self._index()
         self.largest = groups.agg(F.max("bytes")).first()[0] or 0
 
-    def _histogram(self, where: Column | None, bits: int) -> list[Range]:
-        groups = self.groups if where is None else self.groups.filter(where)
+    def _histogram(self, where: DataFrame | None, bits: int) -> list[Range]:
+        groups = self.groups
+        if where is not None:  # 2**17 numbers of ranges at most
+            number = F.shiftright("key", self.coarse)
+            groups = groups.join(F.broadcast(where), number == F.col("picked"), "left_semi")
         rows = (
             groups.groupBy(F.shiftright("key", bits).alias("part"))
             .agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("groups"))
@@ -53,11 +57,11 @@ class Cuts:
         )
         return sorted((Range(r[0] << bits, bits, r[1], r[2]) for r in rows), key=lambda r: r.low)
 
-    def _where(self, spans: list[list[int]]) -> Column:
-        where = F.lit(False)
-        for low, high in spans:
-            where = where | F.col("key").between(low, high)
-        return where
+    def _where(self, spans: list[list[int]]) -> DataFrame:
+        """The numbers of the ranges in the spans, as a table made from one constant."""
+        numbers = (n for low, high in spans for n in range(low >> self.coarse, (high >> self.coarse) + 1))
+        listed = F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<long>")
+        return self.groups.sparkSession.range(1).select(F.explode(listed).alias("picked"))
 
     def _index(self) -> None:
         self.ends = [0, *accumulate(r.bytes for r in self.ranges)]
@@ -107,6 +111,7 @@ class Cuts:
                 spans[-1][1] = high
             else:
                 spans.append([low, high])
+        self.coarse = coarsest
         where = self._where(spans)
         kept = [r for i, r in enumerate(self.ranges) if i not in picked]
         self.ranges = sorted(kept + self._histogram(where, bits), key=lambda r: r.low)

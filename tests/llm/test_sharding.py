@@ -109,6 +109,13 @@ def test_one_group_with_a_third_of_the_rows(spark):
     assert len(check(spark, rows, 8)) == 8  # and none is empty
 
 
+@pytest.mark.parametrize("percent", [5, 30, 90])
+def test_many_equal_texts(spark, percent):
+    texts = (f"text {i} " + "x" * (i % 37) for i in range(50_000))
+    rows = [(i, "the same text" if i % 100 < percent else t) for i, t in enumerate(texts)]
+    assert len(check(spark, rows, 16)) == 16
+
+
 def test_messy_rows_and_few_groups(spark):
     check(spark, MESSY, 16)
     assert shard_documents(documents(spark, []), 16).count() == 0
