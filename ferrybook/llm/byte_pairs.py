@@ -16,16 +16,18 @@ remembered.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
-#: Parts, tokens of parts, and pairs that a task remembers before it starts afresh.
-KNOWN_PARTS, KNOWN_IDS, KNOWN_PAIRS = 1 << 18, 1 << 21, 1 << 20
+#: Parts, and pairs, that a worker remembers before it forgets those not used lately.
+KNOWN_PARTS, KNOWN_PAIRS = 1 << 18, 1 << 20
 #: Letters of a remembered part at most; a longer one is worked out each time.
 PART_LETTERS = 64
 #: Letters of a text that are split in one call; longer texts are split part by part.
@@ -58,14 +60,15 @@ class BytePairs:
         import ahocorasick
 
         self.ranks = ranks
-        self.size = {rank: len(token) for token, rank in ranks.items()}
-        # The next shorter token that begins a token.
-        self.shorter: dict[int, int | None] = {}
+        places = max(ranks.values()) + 1
+        self.size = [0] * places
+        self.shorter = [-1] * places  # the next shorter token that begins a token
         self.automaton = ahocorasick.Automaton()
         for token, rank in ranks.items():
-            heads = (ranks.get(token[:n]) for n in range(len(token) - 1, 0, -1))
-            self.shorter[rank] = next((h for h in heads if h is not None), None)
-            self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
+            self.size[rank] = len(token)
+            heads = (ranks.get(token[:n], -1) for n in range(len(token) - 1, 0, -1))
+            self.shorter[rank] = next((h for h in heads if h >= 0), -1)
+            self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
         self.joined: dict[tuple[int, int], int] = {}
         self.halves: dict[int, tuple[int, int]] = {}
@@ -74,7 +77,6 @@ class BytePairs:
             if len(token) > 1 and (halves := self._halves(token, rank)):
                 self.halves[rank] = halves
                 self.joined[halves] = rank
-        self.known.clear()
 
     def _halves(self, token: bytes, rank: int) -> tuple[int, int] | None:
         """The two older tokens whose merge is this token."""
@@ -110,70 +112,79 @@ class BytePairs:
                 return True
 
     def stay_apart(self, left: int, right: int) -> bool:
-        pair = left, right
-        found = self.known.get(pair)
-        if found is None:
-            if len(self.known) >= KNOWN_PAIRS:
-                self.known.clear()
-            found = self.known[pair] = self._stay_apart(left, right)
+        found = self._stay_apart(left, right)
+        if len(self.known) >= KNOWN_PAIRS:
+            self.known.clear()
+        self.known[left, right] = found
         return found
 
     def encode(self, part: bytes) -> list[int]:
         whole = self.ranks.get(part)
         if whole is not None:
             return [whole]
-        longest: list[int | None] = [None] * (len(part) + 1)
-        for end, (rank, size) in self.automaton.iter(part.decode("latin-1")):
-            longest[end - size + 1] = rank  # a later end is a longer token
+        size, shorter, known = self.size, self.shorter, self.known
+        longest = [-1] * (len(part) + 1)
+        for end, token in self.automaton.iter(part.decode("latin-1")):
+            longest[end - size[token] + 1] = token  # a later end is a longer token
         dead = bytearray(len(part) + 1)
         ids: list[int] = []
-        at, token = 0, longest[0]
+        at, token, last = 0, longest[0], -1
         while at < len(part):
-            while token is not None:
-                end = at + self.size[token]
-                if not dead[end] and (not ids or self.stay_apart(ids[-1], token)):
-                    break
-                token = self.shorter[token]
-            if token is not None:
+            while token >= 0:
+                end = at + size[token]
+                if not dead[end]:
+                    if last < 0:
+                        break
+                    apart = known.get((last, token))
+                    if apart is None:
+                        apart = self.stay_apart(last, token)
+                    if apart:
+                        break
+                token = shorter[token]
+            if token >= 0:
                 ids.append(token)
-                at, token = end, longest[end]
+                at, last, token = end, token, longest[end]
                 continue
             if not ids:
                 raise ValueError("the vocabulary lacks a byte of the text or a way to merge it")
             dead[at] = 1
-            last = ids.pop()
-            at -= self.size[last]
-            token = self.shorter[last]
+            token = ids.pop()
+            at -= size[token]
+            token, last = shorter[token], ids[-1] if ids else -1
         return ids
 
 
 class PartIds(dict):
-    """Ids of parts as letters; unknown ones are worked out and remembered."""
+    """Ids of parts as 32-bit numbers in bytes; unknown ones are worked out and remembered.
+
+    When it is full, what it has becomes the older half, which goes when it is full again.
+    """
 
     def __init__(self, pairs: BytePairs):
         super().__init__()
-        self.pairs, self.held = pairs, 0
+        self.pairs, self.older = pairs, {}
 
-    def __missing__(self, part: str) -> list[int]:
-        ids = self.pairs.encode(part.encode())
+    def __missing__(self, part: str) -> bytes:
+        ids = self.older.get(part)
+        if ids is None:
+            ids = array("i", self.pairs.encode(part.encode())).tobytes()
         if len(part) <= PART_LETTERS:
-            if len(self) >= KNOWN_PARTS or self.held >= KNOWN_IDS:
+            if len(self) >= KNOWN_PARTS:
+                self.older = dict(self)
                 self.clear()
-                self.held = 0
             self[part] = ids
-            self.held += len(ids)
         return ids
 
 
-def ids_of(text: str, pattern, known: PartIds) -> list[int]:
+def ids_of(text: str, pattern, known: PartIds) -> bytes:
     """Ids of a whole text; a very long one is split some thousand parts at a time."""
     if len(text) <= SPLIT_LETTERS:
-        return list(chain.from_iterable([known[p] for p in pattern.findall(text)]))
-    ids: list[int] = []
+        return b"".join([known[p] for p in pattern.findall(text)])
+    ids = bytearray()
     parts = (match.group() for match in pattern.finditer(text))
     while some := list(islice(parts, 4096)):
-        ids.extend(chain.from_iterable([known[p] for p in some]))
-    return ids
+        ids += b"".join([known[p] for p in some])
+    return bytes(ids)
 
 
 def _encode(shared):
@@ -191,10 +202,11 @@ def _encode(shared):
             begin, offsets, ids = 0, [0], []
             for row in range(batch.num_rows):
                 body = texts[row].as_py() or b""
-                ids.extend(ids_of(body.decode("utf-8", "replace"), pattern, known))
-                offsets.append(len(ids))
-                if len(ids) >= BATCH_IDS or row == batch.num_rows - 1:
-                    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+                ids.append(ids_of(body.decode("utf-8", "replace"), pattern, known))
+                offsets.append(offsets[-1] + len(ids[-1]) // 4)
+                if offsets[-1] >= BATCH_IDS or row == batch.num_rows - 1:
+                    values = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(ids))])
+                    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
                     yield pa.RecordBatch.from_arrays(
                         [names.slice(begin, len(lists)), lists], names=["id", "ids"]
                     )
@@ -234,15 +246,16 @@ def encode_bytes(
 
 def _decode(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bodies = shared.value
+        bodies = np.empty(max(shared.value) + 1, dtype=object)
+        for token, body in shared.value.items():
+            bodies[token] = body
         for batch in batches:
             lists = batch.columns[-1]
             begin, held, out = 0, 0, []
             for row in range(batch.num_rows):
                 ids = lists[row].values
-                ids = ids.to_pylist() if ids is not None else []
-                out.append(b"".join([bodies[i] for i in ids]))
-                held += len(ids)
+                out.append(b"" if ids is None else b"".join(bodies[ids.to_numpy(zero_copy_only=False)].tolist()))
+                held += 0 if ids is None else len(ids)
                 if held >= BATCH_IDS or row == batch.num_rows - 1:
                     rows = batch.slice(begin, len(out))
                     yield pa.RecordBatch.from_arrays(
