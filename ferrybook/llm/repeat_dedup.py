@@ -6,10 +6,12 @@ run of ``ANCHOR`` bytes with the smallest hash. Equal passages have equal anchor
 the same place inside them. The passages of one anchor occurrence form a span. Only
 spans whose anchor occurs more than once can hold a repeat.
 
-Spans equal as a whole are one class, and need no look at their bytes. One span of
-each class is sent to the task of its anchor. There the suffixes of all spans are
-sorted by their first ``LENGTH`` bytes, ties in text order, and the nearest smaller
-positions on either side in that order give each passage its earlier and later match.
+Spans equal as a whole (by a 64-bit hash) are one class, and are counted without a look
+at their bytes. One span of each class is sent to the task of its anchor. There the
+suffixes of all spans are sorted by their first ``LENGTH`` bytes, ties in text order. The
+nearest smaller positions on either side in that order give each passage its longest
+previous factor and where that lies; a passage that is one as a whole is a later copy.
+Anchors with very many classes are not sorted but resolved by hashes of passages.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ferrybook.llm.common import write_stage
 from ferrybook.llm.words import (
@@ -169,9 +172,11 @@ def _cut_spans(length: int):
     return run
 
 
-def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
-    """Rank of each suffix by its first ``length`` bytes (those after the end count as
-    smallest); equal prefixes have equal ranks. By prefix doubling from eight bytes."""
+def suffix_levels(data: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
+    """Ranks of the suffixes by their first bytes, at depths that double up to ``length``.
+
+    Bytes after the end count as smallest; equal prefixes have equal ranks.
+    """
     n = len(data)
     padded = np.concatenate((data.astype(np.uint64) + np.uint64(1), np.zeros(length + 8, np.uint64)))
     # Seven bytes of up to 256 and the mark for "after the end" fit a 64-bit key.
@@ -179,35 +184,92 @@ def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
     have = min(7, length)
     for j in range(have):
         key = key * np.uint64(257) + padded[j : j + n]
+    levels = []
     while True:
         order = np.argsort(key, kind="stable")
-        new = np.zeros(n, dtype=np.int64)
+        new = np.zeros(n, dtype=np.int32)
         new[1:] = np.cumsum(key[order][1:] != key[order][:-1])
-        rank = np.empty(n, dtype=np.int64)
+        rank = np.empty(n, dtype=np.int32)
         rank[order] = new + 1
+        levels.append((have, rank))
         if have >= length:
-            return rank
+            return levels
         shift = min(have, length - have)
-        later = np.zeros(n, dtype=np.uint64)
+        key = rank.astype(np.uint64) << np.uint64(32)
         if shift < n:
-            later[: n - shift] = rank[shift:].astype(np.uint64)
-        key = rank.astype(np.uint64) << np.uint64(32) | later
+            key[: n - shift] |= rank[shift:].astype(np.uint64)
         have += shift
 
 
-def matches(ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each suffix, given in text order, has an earlier and a later match.
+def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
+    """Rank of each suffix by its first ``length`` bytes."""
+    return suffix_levels(data, length)[-1][1]
 
-    In suffix order with ties in text order, the previous smaller position of a suffix
-    whose longest previous factor reaches the sorted depth is its predecessor, with
-    the same rank. In the same way its successor is its next occurrence.
+
+def nearest_smaller(values: np.ndarray) -> np.ndarray:
+    """For each value the index of the nearest smaller one before it, or -1.
+
+    What lies between a value and where it points is larger than it, so a value that
+    points to a larger one may point where that points. All do so at once.
+    """
+    to = np.arange(-1, len(values) - 1)
+    moving = np.flatnonzero(to >= 0)
+    moving = moving[values[to[moving]] > values[moving]]
+    while len(moving):
+        to[moving] = to[to[moving]]
+        moving = moving[to[moving] >= 0]
+        moving = moving[values[to[moving]] > values[moving]]
+    return to
+
+
+def common_bytes(
+    levels: list[tuple[int, np.ndarray]], data: np.ndarray, a: np.ndarray, b: np.ndarray
+) -> np.ndarray:
+    """How many first bytes the suffixes at two places share, up to the deepest level."""
+    length, last = levels[-1]
+    got = np.zeros(len(a), dtype=np.int64)
+    whole = last[a] == last[b]
+    left = np.flatnonzero(~whole)
+
+    def grow(values: np.ndarray, step: int) -> np.ndarray:
+        x, y = a[left] + got[left], b[left] + got[left]
+        same = (x < len(data)) & (y < len(data))
+        same[same] = values[x[same]] == values[y[same]]
+        got[left[same]] += step
+        return left[same]
+
+    for have, rank in reversed(levels[:-1]):  # each is at most twice the next
+        grow(rank, have)
+    for _ in range(levels[0][0] - 1):
+        left = grow(data, 1)
+    got[whole] = length
+    return got
+
+
+def previous_factors(
+    levels: list[tuple[int, np.ndarray]], data: np.ndarray, places: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Longest-previous-factor array of the suffixes at some places, in text order.
+
+    For each, how many first bytes it shares with an earlier one at most (up to the
+    deepest level), and the place of that one, or -1. In suffix order, with ties in
+    text order, it is the nearest smaller position on one of the two sides.
     """
-    order = np.argsort(ranks, kind="stable")
-    same = ranks[order][1:] == ranks[order][:-1]
-    earlier, later = np.zeros(len(ranks), dtype=bool), np.zeros(len(ranks), dtype=bool)
-    earlier[order[1:][same]] = True
-    later[order[:-1][same]] = True
-    return earlier, later
+    by_rank = np.argsort(levels[-1][1][places], kind="stable")
+    order = places[by_rank]
+    n = len(order)
+    size, source = np.zeros(n, dtype=np.int64), np.full(n, -1)
+    before = nearest_smaller(order)
+    after = n - 1 - nearest_smaller(order[::-1])[::-1]
+    for near in (before, after):
+        has = np.flatnonzero((near >= 0) & (near < n))
+        common = common_bytes(levels, data, order[has], order[near[has]])
+        better = common > size[has]
+        has, common = has[better], common[better]
+        size[has], source[has] = common, order[near[has]]
+    in_text = np.empty(n, dtype=np.int64)
+    in_text[by_rank] = np.arange(n)
+    return size[in_text], source[in_text]
 
 
 def _match_spans(length: int, keep_first: bool):
@@ -220,12 +282,14 @@ def _match_spans(length: int, keep_first: bool):
         data = np.frombuffer(b"".join(body.to_pylist()), dtype=np.uint8)
         offsets = np.append(0, np.cumsum(sizes))
         count = part.column(3).to_numpy()
-        ranks = suffix_ranks(data, length)
         # Only the passages of the spans themselves, still in text order.
         inside = np.arange(len(data)) - offsets[segment_of(offsets)] < np.repeat(count, sizes)
-        earlier, later = matches(ranks[inside])
-        flags = earlier if keep_first else earlier | later
-        if not keep_first:  # spans seen twice are known to be repeats as a whole
+        begins = np.flatnonzero(inside)
+        factor, source = previous_factors(suffix_levels(data, length), data, begins)
+        flags = factor >= length  # the whole passage came before
+        if not keep_first:
+            flags[np.searchsorted(begins, source[flags])] = True
+            # Spans seen twice are known to be repeats as a whole.
             flags &= np.repeat(part.column(4).to_numpy() == 1, count)
         places = np.append(0, np.cumsum(count))
         # A run may not go on into the next span.
@@ -406,13 +470,13 @@ def _cleaned(docs: DataFrame, length: int, keep_first: bool) -> DataFrame:
     lists = starts.groupBy("id").agg(F.collect_set(F.struct("start", "run")).alias("found"))
     lists = lists.withColumnRenamed("id", "found_for")
     joined = _with_texts(docs, lists, "found_for", "left")
-    others = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
-    added = (
+    others = [f for f in docs.schema if f.name != "text"]
+    added = T._parse_datatype_string(
         "n_bytes long, n_removed long, spans array<struct<start:long,bytes:long>>, kept binary,"
         " kept_text string"
     )
     run = _remove(length, docs.columns.index("text"), len(docs.columns))
-    return joined.mapInArrow(run, ", ".join([*others, added]))
+    return joined.mapInArrow(run, T.StructType([*others, *added]))
 
 
 def remove_repeats(
@@ -456,6 +520,7 @@ def without_repeats(
     )
     cleaned = _cleaned(row, length, keep_first=True)
     columns = [
-        F.col("kept_text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns
+        F.col("kept_text").alias(c) if c == text_col else F.col("row").getField(c).alias(c)
+        for c in docs.columns
     ]
     return cleaned.select(*columns)

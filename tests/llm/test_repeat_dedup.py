@@ -7,7 +7,14 @@ import pytest
 from llm_frames import MESSY, documents, prose, repeats
 
 from ferrybook.llm import repeat_dedup
-from ferrybook.llm.repeat_dedup import matches, remove_repeats, suffix_ranks, without_repeats
+from ferrybook.llm.repeat_dedup import (
+    nearest_smaller,
+    previous_factors,
+    remove_repeats,
+    suffix_levels,
+    suffix_ranks,
+    without_repeats,
+)
 
 
 def corpus():
@@ -66,16 +73,44 @@ def test_messy_rows(spark):
         remove_repeats(documents(spark, []), length=40)
 
 
-def test_suffix_ranks_and_matches():
-    data = np.frombuffer(b"banana bandana banana", dtype=np.uint8)
+def shared(a, b, depth):
+    return next((j for j in range(min(depth, len(a), len(b))) if a[j] != b[j]), min(depth, len(a), len(b)))
+
+
+@pytest.mark.parametrize("text", [b"banana bandana banana", b"a" * 30, b"abaab" * 9 + b"abaaa" * 5])
+def test_suffix_ranks_and_previous_factors(text):
+    data = np.frombuffer(text, dtype=np.uint8)
     for depth in (1, 3, 7, 8, 13, 40):
         prefixes = [bytes(data[i : i + depth]) for i in range(len(data))]
-        ranks = suffix_ranks(data, depth)
         order = sorted(set(prefixes))
-        assert [order.index(p) + 1 for p in prefixes] == ranks.tolist()
-        earlier, later = matches(ranks)
-        assert earlier.tolist() == [p in prefixes[:i] for i, p in enumerate(prefixes)]
-        assert later.tolist() == [p in prefixes[i + 1 :] for i, p in enumerate(prefixes)]
+        assert [order.index(p) + 1 for p in prefixes] == suffix_ranks(data, depth).tolist()
+        for places in (np.arange(len(data)), np.arange(1, len(data), 3)):
+            size, source = previous_factors(suffix_levels(data, depth), data, places)
+            for k, i in enumerate(places):
+                longest = max((shared(text[j:], text[i:], depth) for j in places[:k]), default=0)
+                if i + depth > len(text):  # what lies after the end counts as equal only if both end there
+                    longest = min(longest, len(text) - i)
+                assert size[k] == longest
+                if longest:
+                    assert source[k] < i and shared(text[source[k] :], text[i:], depth) == longest
+
+
+def test_nearest_smaller():
+    rng = random.Random(2)
+    for n in (0, 1, 2, 500):
+        values = rng.sample(range(10 * n + 1), n)
+        expected = [max((j for j in range(i) if values[j] < values[i]), default=-1) for i in range(n)]
+        assert nearest_smaller(np.array(values, dtype=np.int64)).tolist() == expected
+    assert nearest_smaller(np.arange(1000)[::-1]).tolist() == [-1] * 1000
+
+
+def test_odd_column_names_stay(spark):
+    df = spark.createDataFrame(corpus(), "doc_id long, text string").selectExpr(
+        "*", "1 as `a.b`", "'x' as `my col`", "named_struct('p:q', 1, 'r s', array(2)) as `a:b`", "3 as `t``k`"
+    )
+    cleaned = without_repeats(df)
+    assert cleaned.columns == df.columns
+    assert sorted(map(str, cleaned.drop("text").collect())) == sorted(map(str, df.drop("text").collect()))
 
 
 def test_all_columns_stay_and_text_is_valid(spark):
