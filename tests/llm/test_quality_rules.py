@@ -2,10 +2,11 @@
 
 import collections
 import math
+import re
 
 import pytest
 import xxhash
-from llm_frames import MESSY, documents, prose, space_words
+from llm_frames import MESSY, documents, edited, prose, space_words
 
 from ferrybook.llm.quality_rules import BUCKETS, THRESHOLD, keep_good, rate_quality
 
@@ -33,13 +34,17 @@ def counts(text):
 
 
 def ratios(rows, trusted):
-    n, t = collections.Counter(), collections.Counter()
+    passages = {}
     for i, text in rows:
-        for b in buckets(text):
+        for p in re.split(r"(?<=[dl048йхν])[\x20\x09-\x0D]+|\n", text or ""):
+            passages[p] = passages.get(p, 0) | (i in trusted)
+    n, t = collections.Counter(), collections.Counter()
+    for p, good in passages.items():
+        for b in buckets(p):
             n[b] += 1
-            t[b] += i in trusted
+            t[b] += good
     whole_n, whole_t = sum(n.values()) + BUCKETS, sum(t.values()) + BUCKETS
-    return lambda b: math.log((t[b] + 1) / whole_t) - math.log((n[b] + 1) / whole_n)
+    return lambda b: math.log((t[b] + 1) / whole_t) - math.log((n[b] + 1) / whole_n) if n[b] else 0.0
 
 
 @pytest.fixture(scope="module")
@@ -75,6 +80,17 @@ def test_no_trusted_rows_and_empty_table(spark, rows):
     assert rate_quality(documents(spark, []), none).count() == 0
 
 
+@pytest.mark.parametrize("copies", [3, 100])
+def test_copies_push_no_good_text_out(spark, copies):
+    rows = [(i, prose(i, 150, words=800)) for i in range(60)]
+    rows += [(100 + i, rows[0][1]) for i in range(copies)]
+    rows += [(1000 + i, edited(rows[1][1], i, 2)) for i in range(min(copies, 10))]
+    labels = spark.createDataFrame([(i,) for i in range(50)], "doc_id long")
+    got = rate_quality(documents(spark, rows), labels).collect()
+    assert all(r.kept for r in got if r.doc_id < 50 or 100 <= r.doc_id < 1000)
+    assert all(r.kept for r in got if r.doc_id >= 1000)
+
+
 def test_kept_rows_have_all_columns(spark, rows):
     df = documents(spark, rows)
     none = spark.createDataFrame([], "doc_id long")
