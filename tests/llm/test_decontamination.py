@@ -2,11 +2,13 @@
 
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
 from llm_frames import MESSY, documents, prose
 
+from ferrybook.llm import decontamination
 from ferrybook.llm.decontamination import MASKS, best_overlap, contaminated, without_contaminated
 
 ITEMS = {i: prose(900 + i, 15 + i, words=3000) for i in range(30)}
@@ -120,3 +122,72 @@ def test_short_items_and_sparse_overlaps_are_found(spark):
     rows = [(i, f"before {text} after") for i, text in bare.items()] + [(83, changed), (84, "beta gamma alpha")]
     found = contaminated(documents(spark, rows), items(spark, {**bare, 83: " ".join(long)})).collect()
     assert sorted((r.doc_id, r.item_id) for r in found) == [(80, 80), (81, 81), (82, 82), (83, 83)]
+
+
+def plain_overlaps(rows, items):
+    """Best overlap of each document and item, by trying all alignments and runs."""
+    found = {}
+    for doc, text in rows:
+        tokens = re.findall(r"[0-9a-z]+", text.lower())
+        for item, item_text in items.items():
+            own = item_text.split()
+            runs = []
+            for offset in range(1 - len(own), len(tokens)):
+                places = [
+                    i for i in range(max(0, offset), min(len(tokens), offset + len(own))) if tokens[i] == own[i - offset]
+                ]
+                good = [
+                    (b - a + 1, n, -a)
+                    for k, a in enumerate(places)
+                    for n, b in enumerate(places[k:], 1)
+                    if n >= 0.75 * (b - a + 1)
+                ]
+                runs += [max(good)] if good else []
+            runs = [(n, -size, at) for size, n, at in runs if size >= 13]
+            if runs:
+                n, size, at = max(runs)
+                found[doc, item] = (-at, -size, n)
+    return found
+
+
+def test_equals_all_alignments(spark):
+    rng = random.Random(8)
+    own = {i: prose(300 + i, rng.randrange(13, 40), words=40) for i in range(8)}
+    rows = []
+    for i in range(60):
+        words = prose(i, 40, words=40).split()
+        part = own[i % 8].split()
+        first = rng.randrange(len(part) - 11)
+        part = [w if rng.random() > 0.15 * (i % 4) else "zz" for w in part[first : first + rng.randrange(11, 30)]]
+        at = rng.randrange(len(words))
+        rows.append((i, " ".join(words[:at] + part + words[at:])))
+    found = contaminated(documents(spark, rows), items(spark, own)).collect()
+    got = {(r.doc_id, r.item_id): (r.start, r.n_tokens, r.n_equal) for r in found}
+    expected = plain_overlaps(rows, own)
+    assert got == expected and 20 < len(got) < 60
+
+
+def test_repetitive_texts_meet_once(spark):
+    own = {1: "buy now " * 40, 2: "a " * 60, 3: prose(5, 30)}
+    rows = [(i, "buy now " * 3000 + "a " * 5000) for i in range(3)] + [(9, prose(6, 50))]
+    found = contaminated(documents(spark, rows), items(spark, own)).collect()
+    got = {(r.doc_id, r.item_id): (r.n_tokens, r.n_equal) for r in found}
+    assert got == {(i, j): (n, n) for i in range(3) for j, n in ((1, 80), (2, 60))}
+
+
+def test_full_filter_only_costs_work(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "LEAST_BITS", 6)
+    monkeypatch.setattr(decontamination, "MOST_BITS", 6)
+    rows = [(i, f"{prose(i, 60)} {ITEMS[i] if i % 3 else ''}") for i in range(30)]
+    found = contaminated(documents(spark, rows), items(spark)).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(i, i) for i in range(30) if i % 3}
+
+
+def test_columns_with_any_name_stay(spark):
+    rows = [(1, ITEMS[3]), (2, prose(1, 40)), (None, None)]
+    df = documents(spark, rows).selectExpr(
+        "*", "1 as text_hash", "2 as _found", "3 as found", "4 as hash", "5 as `a.b`", "6 as `my col`"
+    )
+    left = without_contaminated(df, items(spark))
+    assert left.columns == df.columns
+    assert sorted(map(str, left.collect())) == sorted(map(str, df.filter("doc_id is null or doc_id = 2").collect()))
