@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,16 +29,31 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the session's checkpoint folder and read it from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: the one that the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one that the cluster names in ``spark.checkpoint.dir``. Only
-    a session without one (a local test) gets a temporary folder.
+    Only a local session without one gets a temporary folder; on a cluster that would be
+    the driver's own disk, which no executor sees.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="ferrybook-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="ferrybook-checkpoint-")
+        context.setCheckpointDir(named)
+    return context.getCheckpointDir()
+
+
+def quoted(name: str) -> str:
+    """A column name that may hold dots, blanks or backticks."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the session's checkpoint folder and read it from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -49,10 +65,7 @@ def write_stage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="ferrybook-checkpoint-"))
-    path = f"{context.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     hadoop_path = context._jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)

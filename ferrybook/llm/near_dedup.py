@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferrybook.llm.common import cut_lineage, write_stage
+from ferrybook.llm.common import cut_lineage, quoted, write_stage
 from ferrybook.llm.words import (
     as_long,
     chunks,
@@ -432,7 +432,7 @@ def keep_one(
     """
     found = near_duplicates(docs, id_col, text_col, percent)
     removed = found.filter(~F.col("kept") & F.col(id_col).isNotNull()).select(id_col).distinct()
-    kept = docs.join(removed, id_col, "left_anti").select(docs.columns)
+    kept = docs.join(removed, id_col, "left_anti").select(*map(quoted, docs.columns))
     ids = docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).count()
     if ids.filter("count > 1").isEmpty():
         return kept

@@ -98,3 +98,12 @@ def test_one_of_each_group_stays(spark):
     ids = [r.doc_id for r in kept.select("doc_id").collect() if r.doc_id is not None]
     assert sorted(ids) == sorted(i for i, (_, c) in expected.items() if i == c)
     assert kept.filter(F.col("doc_id").isNull()).count() == 2
+
+
+def test_columns_with_any_name_stay(spark):
+    rows = [(1, prose(1, 60)), (2, prose(1, 60)), (2, prose(1, 60)), (3, prose(3, 60)), (3, prose(3, 60)), (None, "x")]
+    for some in (rows, rows[:2]):
+        df = documents(spark, some).selectExpr("*", "1 as `a.b`", "2 as `my col`", "3 as `t``k`")
+        kept = keep_one(df)
+        assert kept.columns == df.columns
+        assert sorted(str(r.doc_id) for r in kept.collect()) == (["1", "3", "None"] if some is rows else ["1"])
