@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ferrybook.llm import sql
 from ferrybook.llm.byte_pairs import decode_bytes, encode_bytes
 from ferrybook.llm.common import table
 from ferrybook.llm.decontamination import contaminated
@@ -129,26 +130,11 @@ def queries() -> dict[str, Query]:
     }
 
 
-URL_SQL = """
-with parts as (
-  select page_id,
-         translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1),
-                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
-         regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) as path
-  from pages),
-rules (verdict, rule_host, rule_path) as (
-  values ('block', 'net', '/'), ('allow', 'example.net', '/en/'),
-         ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
-fits as (
-  select page_id, host, path, r.verdict, rule_host || rule_path as rule,
-         row_number() over (partition by page_id, host, path
-                            order by length(rule_host || rule_path) desc nulls last) as place
-  from parts left join rules r
-    on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path))
-select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict
-from fits where place = 1
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filters": URL_SQL}
+    """SQL where it can say the result; hashes, models and tokenizers it cannot."""
+    return {
+        "op7_minhash_near_dedup": sql.NEAR_DUPLICATES,
+        "op9_suffix_array_dedup": sql.REPEATS,
+        "op10_url_filters": sql.URL_FILTERS,
+        "op11_conversation_trie": sql.CONVERSATION_TRIE,
+    }
