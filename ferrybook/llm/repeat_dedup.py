@@ -42,7 +42,7 @@ ANCHOR = 32
 #: passages are counted by their hashes instead, which spreads over all tasks.
 LARGEST_GROUP = 2000
 #: Suffixes that are sorted at a time, unless one anchor alone has more.
-SORT_BYTES = 1 << 22
+SORT_BYTES = 1 << 21
 
 
 class Spans:
