@@ -7,6 +7,7 @@ bounded bytes, never cut; a single text over the bound is a chunk of its own.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,6 +15,9 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 21
+#: Sums modulo 2**64 are the same for certain patterns of a thousand bytes and their
+#: complements, whatever the base; words beyond this many bytes get a digest instead.
+LONG_WORD = 256
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Powers of the base, kept while a worker lives.
 CACHE: list[tuple[np.ndarray, np.ndarray]] = []
@@ -141,6 +145,9 @@ def split_words(chunk: Chunk, separators: np.ndarray) -> Words:
     sums = prefix_sums(data, BYTE_VALUES)
     _, down = powers(len(data))
     hashes = mix((sums[ends] - sums[starts]) * down[starts])
+    for i in np.flatnonzero(ends - starts > LONG_WORD):
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest()
+        hashes[i] = int.from_bytes(digest, "little")
     return Words(starts, ends, hashes, np.searchsorted(starts, chunk.offsets), data)
 
 
