@@ -6,6 +6,11 @@ Documents that agree on all minima of a band are candidates. The share of equal
 b-bit values, counted on the packed longs and corrected for chance agreement,
 estimates the similarity; what is clearly below the threshold goes no further. The
 rest is confirmed on the whole sets, and confirmed links are joined to components.
+
+In a family of texts that are alike but below the threshold (pages of one template)
+all members share bands, and no estimate tells them apart. Large bands of that kind are
+thinned by rare shingles first: two linked sets share one of their rarest shingles, at
+places that the threshold bounds, so members that share none need not meet.
 """
 
 from __future__ import annotations
@@ -39,6 +44,9 @@ DEVIATIONS = 5.0
 #: Buckets of up to this many members are compared in full at once, larger ones with
 #: their center.
 SMALL_BUCKET = 8
+#: Buckets beyond this many members are thinned by rare shingles before their members
+#: are compared; in smaller ones a member meets so many others at most.
+LARGE_BUCKET = 256
 #: So many most similar partners of a document are confirmed first.
 NEAREST = 2
 #: Members of a bucket are compared in blocks of this weight on average; a member
@@ -274,18 +282,82 @@ def _compare_blocks(percent: int):
     return run
 
 
+def _rare_shingles(named: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The rarest shingles of each text in ``named`` that another text may share.
+
+    Shingles are ordered by how many of the texts have them, then by hash. If two
+    texts of ``n`` and ``m`` shingles are linked, and the first shingle in this order
+    that both have is at place i of the one and j of the other (from 0), then at most
+    the smaller of n - i and m - j are shared, and that must reach the threshold. So
+    the first of them lies within the first hundredths of each set that the threshold
+    leaves over, and nearer still to the start in the smaller set, which is marked
+    ``early``. Only shingles that lie early in some text and are found in different
+    components are returned: shingle, rep, label, n, place, early, owners.
+    """
+    kind = named.schema["rep"].dataType.simpleString()
+    wanted = named.select("rep", "label").distinct()
+    row = ["rep", "label", "version"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, members, offsets in shingle_sets(batch.column(3)):
+                sizes = np.diff(offsets)
+                owner = pa.array(first + np.repeat(np.arange(len(sizes)), sizes))
+                columns = [batch.column(c).take(owner) for c in range(3)]
+                columns += [pa.array(np.repeat(sizes, sizes), pa.int64())]
+                columns += [pa.array(as_long(members), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*row, "n", "shingle"])
+
+    found = texts.withColumnRenamed("id", "rep").join(wanted, "rep")
+    found = found.withColumn("version", F.xxhash64("text")).select(*row, "text")
+    items = found.mapInArrow(run, f"rep {kind}, label {kind}, version long, n long, shingle long")
+    often = items.groupBy("shingle").agg(F.count(F.lit(1)).alias("owners")).filter("owners > 1")
+    # Repeated rows of one document give each shingle again, hence the dense rank.
+    order = Window.partitionBy("rep", "version").orderBy(F.coalesce("owners", F.lit(1)), "shingle")
+    placed = items.join(often, "shingle", "left").withColumn("place", F.dense_rank().over(order) - 1)
+    left = F.col("n") - F.col("place")
+    placed = placed.filter("owners > 1").filter(100 * left >= percent * F.col("n"))
+    placed = cut_lineage(
+        placed.withColumn("early", (100 + percent) * left >= 2 * percent * F.col("n")).drop("owners")
+    )
+    live = (
+        placed.groupBy("shingle")
+        .agg(
+            F.count(F.lit(1)).alias("owners"),
+            F.min("label").alias("low"),
+            F.max("label").alias("high"),
+            F.max("early").alias("some_early"),
+        )
+        .filter("low <> high and some_early")
+        .select("shingle", "owners")
+    )
+    return cut_lineage(placed.join(live, "shingle"))
+
+
+def _rare_pairs(rare: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that meet in a shingle of few texts."""
+    few = rare.filter(F.col("owners") <= SMALL_BUCKET).select("shingle", "rep", "label", "n", "place")
+    other = few.select("shingle", *(F.col(c).alias(f"other_{c}") for c in few.columns[1:]))
+    shared = F.least(F.col("n") - F.col("place"), F.col("other_n") - F.col("other_place"))
+    met = few.join(other, "shingle").filter(
+        (F.col("rep") < F.col("other_rep"))
+        & (F.col("label") != F.col("other_label"))
+        & ((100 + percent) * shared >= percent * (F.col("n") + F.col("other_n")))
+    )
+    return met.select(F.col("rep").alias("a"), F.col("other_rep").alias("b")).distinct()
+
+
 def _links_across(
     members: DataFrame, labels: DataFrame, signatures: DataFrame, texts: DataFrame, percent: int
 ) -> DataFrame:
-    """Links (a, b) between the labels of different components that share a bucket.
+    """Links (a, b) between different components that share a bucket.
 
-    A member takes part if its estimate with some member of another component does
-    not rule out a link. Those of a bucket are dealt into blocks by a hash; all texts
-    of two blocks meet in one task, which compares their full sets and returns pairs
-    of labels only. So no pair of texts is ever a row, and no task gets a whole
-    bucket that is large.
+    Members of large buckets meet by their rare shingles: in pairs where few texts
+    have the shingle, which are confirmed at once. Those that have a rare shingle of
+    more texts stay in their buckets; the others leave them, as no link is left that
+    they could have. Small buckets are compared as they are.
     """
-    named = members.select("key", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+    named = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     named = named.withColumn("label", F.coalesce("label", "rep"))
     open_keys = (
         named.groupBy("key")
@@ -293,7 +365,31 @@ def _links_across(
         .filter("low <> high")
         .select("key")
     )
-    named = cut_lineage(named.join(open_keys, "key").join(signatures, "rep"))
+    named = cut_lineage(named.join(open_keys, "key").select("key", "rep", "members", "label"))
+    large = named.filter(F.col("members") > LARGE_BUCKET)
+    small = named.filter(F.col("members") <= LARGE_BUCKET)
+    if large.isEmpty():
+        return _links_in_buckets(small, signatures, texts, percent)
+    rare = _rare_shingles(large, texts, percent)
+    likely = _likely(_rare_pairs(rare, percent), signatures.select("rep", "signature"), percent)
+    confirmed = _confirm(likely.select("a", "b"), texts, percent)
+    common = rare.filter(F.col("owners") > SMALL_BUCKET).select("rep").distinct()
+    left = small.unionByName(large.join(common, "rep").select(*large.columns))
+    return confirmed.unionByName(_links_in_buckets(left, signatures, texts, percent))
+
+
+def _links_in_buckets(
+    named: DataFrame, signatures: DataFrame, texts: DataFrame, percent: int
+) -> DataFrame:
+    """Links (a, b) between the labels of different components within buckets.
+
+    A member takes part if its estimate with some member of another component does
+    not rule out a link. Those of a bucket are dealt into blocks by a hash; all texts
+    of two blocks meet in one task, which compares their full sets and returns pairs
+    of labels only. So no pair of texts is ever a row, and no task gets a whole
+    bucket that is large.
+    """
+    named = cut_lineage(named.select("key", "rep", "label").join(signatures, "rep"))
     partners = named.select(
         *(F.col(c).alias(f"other_{c}") for c in ("key", "label", "n_shingles", "signature"))
     )

@@ -50,6 +50,35 @@ def test_blocks_of_large_buckets_find_the_same(spark, monkeypatch, weight):
     check(spark, corpus(), 85)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_large_buckets_thinned_by_rare_shingles_find_the_same(spark, monkeypatch, percent):
+    monkeypatch.setattr(near_dedup, "SMALL_BUCKET", 3)
+    monkeypatch.setattr(near_dedup, "LARGE_BUCKET", 3)
+    monkeypatch.setattr(near_dedup, "NEAREST", 1)
+    # Repeated rows, and pages of a template that differ more or less than the threshold.
+    rows = corpus() + [r for r in corpus() if r[0] % 7 == 0]
+    template = prose(50, 120)
+    rows += [(3000 + j, f"{template} {prose(3000 + j, 3 + j % 14, 10**6)}") for j in range(120)]
+    check(spark, rows, percent)
+
+
+def test_members_below_the_threshold_leave_large_buckets(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "LARGE_BUCKET", 40)
+    left = []
+    plain = near_dedup._links_in_buckets
+
+    def watched(named, *rest):
+        left.append(named.select("rep").distinct().count())
+        return plain(named, *rest)
+
+    monkeypatch.setattr(near_dedup, "_links_in_buckets", watched)
+    template = prose(51, 150)
+    rows = [(j, f"{template} {prose(4000 + j, 20, 10**6)}") for j in range(300)]
+    rows += [(1000, rows[17][1] + " more"), (1001, "other " + rows[200][1])]
+    check(spark, rows, 85)
+    assert left and left[0] < 30
+
+
 def test_shared_counts():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 9000, n)).astype(np.uint64) for n in (1, 0, 3000, 9000, 40)]
