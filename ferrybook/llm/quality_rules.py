@@ -7,12 +7,14 @@ below a fixed threshold a document is not kept.
 
 A text is cut into passages of some words, at places that depend on the words alone.
 Each distinct passage counts once, however many documents have it, so copies of a text
-do not make it look common; of near copies only passages that differ count anew.
+do not make it look common; of near copies only passages that differ count anew. Those of
+near copies of trusted documents (most characters in trusted passages) count on the
+trusted side too, so that a family of them does not outweigh the text it comes from.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferrybook.llm.common import SPACE_CHARS, words
@@ -25,6 +27,11 @@ SMOOTHING = 1.0
 TRUSTED_ROWS = 20_000
 #: A passage ends at white space after one of these letters, or at the end of a line.
 PASSAGE_END = r"(?<=[dl048йхν])[\x20\x09-\x0D]+|\n"
+#: Bits of the filter that holds the hashes of trusted passages.
+FILTER_BITS = 1 << 23
+#: A text is a near copy of trusted ones with this share of its characters in passages
+#: that the filter holds, beyond the share that it seems to hold by chance.
+NEAR_COPY = 0.8
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Mean log ratio per n-gram under which a document is not kept. README has the scores of
 #: labelled documents that were not used for learning.
@@ -90,6 +97,35 @@ def _features():
     )
 
 
+def _near_copy(trusted_passages: DataFrame, passages: str) -> Column:
+    """Whether a text, cut into the array ``passages``, is a near copy of trusted ones.
+
+    The filter has ``FILTER_BITS`` bits whatever the corpus, so it is a constant of the
+    expression. The fuller it is, the more of a text must be in it.
+    """
+    slot = F.xxhash64("passage").bitwiseAND(F.lit(FILTER_BITS - 1))
+    rows = (
+        trusted_passages.select(slot.alias("slot"))
+        .groupBy(F.shiftright("slot", 6).alias("at"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
+        .collect()
+    )
+    longs = [0] * (FILTER_BITS // 64)
+    for at, bits in rows:
+        longs[at] = bits
+    full = sum((x & (2**64 - 1)).bit_count() for x in longs) / FILTER_BITS
+    constant = F.split(F.lit(",".join(map(str, longs))), ",").cast("array<long>")
+
+    def held(passage):
+        own = F.xxhash64(passage).bitwiseAND(F.lit(FILTER_BITS - 1))
+        bits = F.get(constant, F.shiftright(own, 6).cast("int"))
+        return F.getbit(bits, own.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+    characters = lambda texts: F.length(F.array_join(texts, ""))
+    least = NEAR_COPY + (1 - NEAR_COPY) * full
+    return characters(F.filter(passages, held)) >= F.lit(least) * characters(F.col(passages))
+
+
 def bucket_ratios(
     docs: DataFrame,
     trusted: DataFrame,
@@ -100,9 +136,10 @@ def bucket_ratios(
     """Log ratio of trusted to corpus probability per bucket: ``bucket``, ``ratio``.
 
     Words and word pairs of all distinct passages of all documents are counted; a
-    passage is trusted if any trusted document has it. ``trusted`` has the ids of trusted documents in ``id_col``. At most
-    ``trusted_rows`` of them are used, so that list can be broadcast. Without any
-    trusted document all ratios are 0.
+    passage is trusted if any trusted document or near copy of trusted ones has it.
+    ``trusted`` has the ids of trusted documents in ``id_col``. At most ``trusted_rows``
+    of them are used, so that list can be broadcast. Without any trusted document all
+    ratios are 0.
     """
     chosen = (
         trusted.select(F.col(id_col).alias("id"))
@@ -112,13 +149,16 @@ def bucket_ratios(
         .limit(trusted_rows)
         .withColumn("is_trusted", F.lit(1))
     )
-    passages = (
+    cut = (
         docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
         .join(F.broadcast(chosen), "id", "left")
-        .select(
-            F.coalesce("is_trusted", F.lit(0)).alias("t"),
-            F.explode(F.split("text", PASSAGE_END)).alias("passage"),
-        )
+        .select("is_trusted", F.split("text", PASSAGE_END).alias("passages"))
+    )
+    learned = cut.filter("is_trusted = 1").select(F.explode("passages").alias("passage"))
+    near = _near_copy(learned.filter("passage != ''"), "passages")
+    passages = (
+        cut.select((F.col("is_trusted").isNotNull() | near).cast("int").alias("t"), "passages")
+        .select("t", F.explode("passages").alias("passage"))
         .filter("passage != ''")
         .groupBy("passage")
         .agg(F.max("t").alias("t"))

@@ -91,6 +91,18 @@ def test_copies_push_no_good_text_out(spark, copies):
     assert all(r.kept for r in got if r.doc_id >= 1000)
 
 
+def test_only_near_copies_of_trusted_texts_teach_the_trusted_side(spark):
+    rows = [(i, prose(i, 150, words=800)) for i in range(60)]
+    rows += [(1000 + i, edited(rows[1][1], i, 2)) for i in range(200)]
+    half = rows[2][1].split()[:75] + rows[55][1].split()[:75]
+    rows += [(2000, " ".join(half)), (2001, rows[3][1] + " \n"), (2002, "")]
+    labels = spark.createDataFrame([(i,) for i in range(50)], "doc_id long")
+    got = {r.doc_id: r for r in rate_quality(documents(spark, rows), labels).collect()}
+    assert all(got[i].kept for i in [*range(50), *range(1000, 1200), 2001])
+    # Neither texts of their own nor a text that is half a copy count as trusted.
+    assert not any(got[i].kept for i in [*range(50, 60), 2000, 2002])
+
+
 def test_kept_rows_have_all_columns(spark, rows):
     df = documents(spark, rows)
     none = spark.createDataFrame([], "doc_id long")
