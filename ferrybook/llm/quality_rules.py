@@ -154,11 +154,12 @@ def bucket_ratios(
         .join(F.broadcast(chosen), "id", "left")
         .select("is_trusted", F.split("text", PASSAGE_END).alias("passages"))
     )
-    learned = cut.filter("is_trusted = 1").select(F.explode("passages").alias("passage"))
+    # explode_outer, as for explode Spark adds a filter that makes all arrays once more.
+    learned = cut.filter("is_trusted = 1").select(F.explode_outer("passages").alias("passage"))
     near = _near_copy(learned.filter("passage != ''"), "passages")
     passages = (
         cut.select((F.col("is_trusted").isNotNull() | near).cast("int").alias("t"), "passages")
-        .select("t", F.explode("passages").alias("passage"))
+        .select("t", F.explode_outer("passages").alias("passage"))
         .filter("passage != ''")
         .groupBy("passage")
         .agg(F.max("t").alias("t"))
@@ -166,7 +167,7 @@ def bucket_ratios(
     hashes = F.transform(words(F.col("passage")), lambda w: F.xxhash64(w))
     counts = (
         passages.select("t", hashes.alias("hashes"))
-        .select("t", F.explode(_features()).alias("bucket"))
+        .select("t", F.explode_outer(_features()).alias("bucket"))
         .groupBy("bucket")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("t"))
     )
