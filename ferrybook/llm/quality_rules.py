@@ -28,7 +28,7 @@ TRUSTED_ROWS = 20_000
 #: A passage ends at white space after one of these letters, or at the end of a line.
 PASSAGE_END = r"(?<=[dl048йхν])[\x20\x09-\x0D]+|\n"
 #: Bits of the filter that holds the hashes of trusted passages.
-FILTER_BITS = 1 << 23
+FILTER_BITS = 1 << 21
 #: A text is a near copy of trusted ones with this share of its characters in passages
 #: that the filter holds, beyond the share that it seems to hold by chance.
 NEAR_COPY = 0.8
