@@ -14,7 +14,7 @@ trusted side too, so that a family of them does not outweigh the text it comes f
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrybook.llm.common import SPACE_CHARS, words
@@ -97,11 +97,13 @@ def _features():
     )
 
 
-def _near_copy(trusted_passages: DataFrame, passages: str) -> Column:
-    """Whether a text, cut into the array ``passages``, is a near copy of trusted ones.
+def _with_near_copy(texts: DataFrame, trusted_passages: DataFrame) -> DataFrame:
+    """``texts``, each cut into the array ``passages``, with ``near``: is it a near copy?
 
-    The filter has ``FILTER_BITS`` bits whatever the corpus, so it is a constant of the
-    expression. The fuller it is, the more of a text must be in it.
+    The filter has ``FILTER_BITS`` bits whatever the corpus. The fuller it is, the more of
+    a text must be in it. It is the result of a subquery: as a literal it would be printed
+    into every plan description that the driver keeps and logs. It is used once, and all
+    else here are columns of ``texts``, so no row carries it.
     """
     slot = F.xxhash64("passage").bitwiseAND(F.lit(FILTER_BITS - 1))
     rows = (
@@ -114,16 +116,17 @@ def _near_copy(trusted_passages: DataFrame, passages: str) -> Column:
     for at, bits in rows:
         longs[at] = bits
     full = sum((x & (2**64 - 1)).bit_count() for x in longs) / FILTER_BITS
-    constant = F.split(F.lit(",".join(map(str, longs))), ",").cast("array<long>")
+    bits = texts.sparkSession.createDataFrame([(longs,)], "bits array<long>").scalar()
 
     def held(passage):
         own = F.xxhash64(passage).bitwiseAND(F.lit(FILTER_BITS - 1))
-        bits = F.get(constant, F.shiftright(own, 6).cast("int"))
-        return F.getbit(bits, own.bitwiseAND(F.lit(63)).cast("int")) == 1
+        word = F.get("filter", F.shiftright(own, 6).cast("int"))
+        return F.getbit(word, own.bitwiseAND(F.lit(63)).cast("int")) == 1
 
-    characters = lambda texts: F.length(F.array_join(texts, ""))
+    characters = lambda passages: F.length(F.array_join(passages, ""))
     least = NEAR_COPY + (1 - NEAR_COPY) * full
-    return characters(F.filter(passages, held)) >= F.lit(least) * characters(F.col(passages))
+    near = characters(F.filter("passages", held)) >= F.lit(least) * characters(F.col("passages"))
+    return texts.select("*", bits.alias("filter")).select(*texts.columns, near.alias("near"))
 
 
 def bucket_ratios(
@@ -149,16 +152,19 @@ def bucket_ratios(
         .limit(trusted_rows)
         .withColumn("is_trusted", F.lit(1))
     )
-    cut = (
+    cut = docs.select(
+        F.col(id_col).alias("id"),
+        F.split(F.coalesce(text_col, F.lit("")), PASSAGE_END).alias("passages"),
+    ).join(F.broadcast(chosen), "id", "left")
+    # explode_outer, as for explode Spark adds a filter that makes all arrays once more.
+    learned = (
         docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-        .join(F.broadcast(chosen), "id", "left")
-        .select("is_trusted", F.split("text", PASSAGE_END).alias("passages"))
+        .join(F.broadcast(chosen), "id")
+        .select(F.explode_outer(F.split("text", PASSAGE_END)).alias("passage"))
     )
-    # explode_outer, as for explode Spark adds a filter that makes all arrays once more.
-    learned = cut.filter("is_trusted = 1").select(F.explode_outer("passages").alias("passage"))
-    near = _near_copy(learned.filter("passage != ''"), "passages")
     passages = (
-        cut.select((F.col("is_trusted").isNotNull() | near).cast("int").alias("t"), "passages")
+        _with_near_copy(cut.select("is_trusted", "passages"), learned.filter("passage != ''"))
+        .select((F.col("is_trusted").isNotNull() | F.col("near")).cast("int").alias("t"), "passages")
         .select("t", F.explode_outer("passages").alias("passage"))
         .filter("passage != ''")
         .groupBy("passage")

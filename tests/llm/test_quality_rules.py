@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from llm_frames import MESSY, documents, edited, prose, space_words
 
-from ferrybook.llm.quality_rules import BUCKETS, THRESHOLD, keep_good, rate_quality
+from ferrybook.llm.quality_rules import BUCKETS, THRESHOLD, bucket_ratios, keep_good, rate_quality
 
 
 def h(*values, seed=42):
@@ -115,3 +115,12 @@ def test_rated_without_shuffle_or_python(spark, rows):
     plan = rate_quality(documents(spark, rows), spark.createDataFrame([(100,)], "doc_id long"))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in text and "Python" not in text
+
+
+def test_filter_is_in_no_plan_description_and_in_no_row(spark, rows):
+    """The driver keeps and logs a description of the plan at every step of a query."""
+    labels = spark.createDataFrame([(100 + i,) for i in range(50)], "doc_id long")
+    ratios = bucket_ratios(documents(spark, rows), labels)
+    text = ratios._jdf.queryExecution().executedPlan().toString()
+    assert len(text) < 100_000
+    assert "AS filter" not in text
