@@ -14,12 +14,14 @@ trusted side too, so that a family of them does not outweigh the text it comes f
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrybook.llm.common import SPACE_CHARS, words
+from ferrybook.llm.common import words
 
-SYMBOLS = "#*$%&|<>"
+SYMBOL = "[#*$%&|<>]"
+#: What a line with a word has.
+NOT_SPACE = r"[^\x20\x09-\x0D]"
 BUCKETS = 1 << 16
 SMOOTHING = 1.0
 #: At most so many trusted documents teach the target multinomial: those with the
@@ -41,13 +43,19 @@ THRESHOLD = -0.12
 def _counted(docs: DataFrame, text_col: str) -> DataFrame:
     """``row`` (all columns of a document), counts, and a 64-bit hash of each word."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    line_has_word = lambda line: F.length(F.translate(line, SPACE_CHARS, "")) > 0
+    # Patterns, as translate looks up each character of a text in a table of strings.
     df = docs.select(
         F.struct("*").alias("row"),
-        F.length(F.translate(text, SPACE_CHARS, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.filter(F.split(text, "\n", -1), line_has_word).alias("lines"),
-        F.transform(words(text), lambda w: F.xxhash64(w)).alias("hashes"),
+        F.regexp_count(text, F.lit(SYMBOL)).cast("long").alias("n_symbols"),
+        F.filter(F.split(text, "\n", -1), lambda line: line.rlike(NOT_SPACE)).alias("lines"),
+        words(text).alias("words"),
+    )
+    df = df.select(
+        "row",
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        "n_symbols",
+        "lines",
+        F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
     )
     df = df.select(
         "row",
@@ -89,12 +97,14 @@ def _windows():
 
 
 def _features():
-    """Buckets of all words and word pairs, from the column ``hashes``."""
+    """Hashes of all words and word pairs, from the column ``hashes``."""
     heads = F.slice("hashes", 1, F.greatest(F.size("hashes") - 1, F.lit(0)))
     pairs = F.transform(heads, lambda h, i: F.xxhash64(h, F.get("hashes", i + 1)))
-    return F.transform(
-        F.concat("hashes", pairs), lambda h: h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
-    )
+    return F.concat("hashes", pairs)
+
+
+def _bucket(feature: Column) -> Column:
+    return feature.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
 def _with_near_copy(texts: DataFrame, trusted_passages: DataFrame) -> DataFrame:
@@ -173,8 +183,8 @@ def bucket_ratios(
     hashes = F.transform(words(F.col("passage")), lambda w: F.xxhash64(w))
     counts = (
         passages.select("t", hashes.alias("hashes"))
-        .select("t", F.explode_outer(_features()).alias("bucket"))
-        .groupBy("bucket")
+        .select("t", F.explode_outer(_features()).alias("feature"))
+        .groupBy(_bucket(F.col("feature")).alias("bucket"))
         .agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("t"))
     )
     all_buckets = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
@@ -208,13 +218,13 @@ def with_quality(
     ratios = sorted(bucket_ratios(docs, trusted, id_col, text_col, trusted_rows).collect())
     constant = ",".join(f"{ratio:.6f}" for _, ratio in ratios)
     by_bucket = F.split(F.lit(constant), ",").cast("array<double>")
-    df = _counted(docs, text_col).withColumn("buckets", _features())
+    df = _counted(docs, text_col).withColumn("features", _features())
     total = F.aggregate(
-        "buckets", F.lit(0.0), lambda sum_, bucket: sum_ + F.get(by_bucket, bucket)
+        "features", F.lit(0.0), lambda sum_, feature: sum_ + F.get(by_bucket, _bucket(feature))
     )
-    score = F.round(F.coalesce(total / F.nullif(F.size("buckets"), F.lit(0)), F.lit(0.0)), 9)
+    score = F.round(F.coalesce(total / F.nullif(F.size("features"), F.lit(0)), F.lit(0.0)), 9)
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    df = df.withColumns({"base_failed": base_failed, "score": score}).drop("buckets", "hashes")
+    df = df.withColumns({"base_failed": base_failed, "score": score}).drop("features", "hashes")
     return df.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(threshold)))
 
 

@@ -124,3 +124,15 @@ def test_filter_is_in_no_plan_description_and_in_no_row(spark, rows):
     text = ratios._jdf.queryExecution().executedPlan().toString()
     assert len(text) < 100_000
     assert "AS filter" not in text
+
+
+def test_characters_are_counted_by_patterns(spark):
+    """Odd white space, symbols side by side, letters beyond 16 bits; no table lookups."""
+    texts = [
+        "\x0b\n\t\n \x0c\r\n", "a\u00a0b\n\u2003\n\u2003\n",
+        "##$$ %&|<>*\n\n#", "\U0001f600 x\r\nx\r\n\U0001f600", "^[]-\\", None,
+    ]
+    none = spark.createDataFrame([], "doc_id long")
+    rated = rate_quality(documents(spark, list(enumerate(texts))), none)
+    assert "translate(" not in rated._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id: tuple(r[1:6]) for r in rated.collect()} == {i: counts(t) for i, t in enumerate(texts)}
